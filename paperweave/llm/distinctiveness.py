@@ -65,6 +65,6 @@ def score_terms(records: DataFrame, key: str, texts: list[str], window: int = 4,
     once = distinct_by(records.select(F.col(key).cast("string").alias("__key"), *texts), "__key")
     scored = once.mapInArrow(_graph_of_words(window), "key string, term string, tf int, degree int").where(F.col("tf") >= tf_at_least)
     held = once.select(*texts).mapInArrow(_record_terms, "term string, records bigint").groupBy("term").agg(F.sum("records").alias("records"))
-    n = once.agg(F.count("*").alias("n_records"))
-    score = F.col("degree") * F.log(F.col("n_records") / F.col("records"))
-    return scored.join(held, "term").crossJoin(F.broadcast(n)).select(F.col("key").alias(key), "term", "tf", "degree", "records", score.alias("score"))
+    n_records = records.where(F.col(key).isNotNull()).agg(F.count_distinct(key)).scalar()
+    score = F.col("degree") * F.log(n_records / F.col("records"))
+    return scored.join(held, "term").select(F.col("key").alias(key), "term", "tf", "degree", "records", score.alias("score"))

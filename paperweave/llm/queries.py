@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweave.llm import distinctiveness, term_counts
-from paperweave.plans.runtime import read_table
+from paperweave.llm import distinctiveness, mixing, packing, term_counts
+from paperweave.llm.tokens import count_tokens
+from paperweave.plans.runtime import cut_lineage, read_table
 
 TERM_RUN = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 
@@ -30,7 +31,47 @@ def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("score", F.round("score", 6))
 
 
-QUERIES = {"p4_found": p4_found, "p4_ngrams": p4_ngrams, "p5_found": p5_found, "p5_scores": p5_scores}
+def _packs(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
+    """The packs of the small, fixed table pack_specs, one after the other over the same measured documents."""
+    specs = read_table(spark, sf_dir, "pack_specs").where("pack_name is not null and capacity_tokens > 0")
+    measured = packing.measure(read_table(spark, sf_dir, "documents"))
+    made = None
+    for spec in (specs.where(F.col("pack_name") == only) if only else specs).orderBy("pack_name").collect():
+        own = packing.pack(measured, spec.capacity_tokens, spec.pack_name).withColumn("pack_name", F.lit(spec.pack_name))
+        made = own if made is None else made.unionByName(own)
+    if made is None:
+        raise ValueError("pack_specs names no such pack")
+    return made.withColumnRenamed("key", "doc_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _packs(spark, sf_dir, "std").where("part = 1").select("doc_id")
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in every pack."""
+    return _packs(spark, sf_dir).select("pack_name", "container", "doc_id", "part", "start_token", "n_tokens")
+
+
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_lineage(count_tokens(read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+
+
+def p9_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes, targets = _sizes(spark, sf_dir), read_table(spark, sf_dir, "mix_targets")
+    return mixing.report(mixing.assign(sizes, targets), mixing.demands(sizes, targets))
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p9_report(spark, sf_dir).where("not full").select("source")
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix in training order."""
+    return mixing.assign(_sizes(spark, sf_dir), read_table(spark, sf_dir, "mix_targets")).orderBy("position", "source", "doc_id", "pass")
+
+
+QUERIES = {"p4_found": p4_found, "p4_ngrams": p4_ngrams, "p5_found": p5_found, "p5_scores": p5_scores, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_report": p9_report, "p9_mix": p9_mix}
 
 _ONCE = "SELECT urn, any_value(title) AS title, any_value(abstract) AS abstract, any_value(body) AS body FROM papers WHERE urn IS NOT NULL GROUP BY urn"
 

@@ -141,6 +141,6 @@ def count_ngrams(records: DataFrame, key: str, texts: list[str], max_terms: int
 def mark_terms(records: DataFrame, key: str, texts: list[str], max_terms: int = 3, rare_below: int = 3, common_above: float = 1 / 3) -> DataFrame:
     """``count_ngrams`` with a ``mark``: ``rare`` when fewer than ``rare_below`` records hold the n-gram,
     ``common`` when more than the share ``common_above`` of all records do, else null."""
-    n = records.where(F.col(key).isNotNull()).agg(F.count_distinct(key).alias("n_records"))
-    mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > F.col("n_records") * F.lit(common_above), "common")
-    return count_ngrams(records, key, texts, max_terms).crossJoin(F.broadcast(n)).withColumn("mark", mark).drop("n_records")
+    n_records = records.where(F.col(key).isNotNull()).agg(F.count_distinct(key)).scalar()
+    mark = F.when(F.col("records") < rare_below, "rare").when(F.col("records") > n_records * F.lit(common_above), "common")
+    return count_ngrams(records, key, texts, max_terms).withColumn("mark", mark)
