@@ -5,13 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweave.llm import distinctiveness, mixing, packing, term_counts
+from paperweave.llm import distinctiveness, encoding, mixing, packing, term_counts
 from paperweave.llm.tokens import count_tokens
 from paperweave.plans.runtime import cut_lineage, read_table
 
 TERM_RUN = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.find_garbled(read_table(spark, sf_dir, "papers"), "urn", ["title", "abstract"]).select("urn", "field")
+
+
+def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encoding.restore(read_table(spark, sf_dir, "papers"), "urn", ["title", "abstract"])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = term_counts.mark_terms(read_table(spark, sf_dir, "papers"), "urn", ["abstract", "body"], max_terms=2)
     return marked.where((F.col("n_terms") == 1) & F.col("mark").isNotNull()).select(F.col("ngram").alias("term"), "mark")
@@ -71,7 +79,7 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.assign(_sizes(spark, sf_dir), read_table(spark, sf_dir, "mix_targets")).orderBy("position", "source", "doc_id", "pass")
 
 
-QUERIES = {"p4_found": p4_found, "p4_ngrams": p4_ngrams, "p5_found": p5_found, "p5_scores": p5_scores, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_report": p9_report, "p9_mix": p9_mix}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_ngrams": p4_ngrams, "p5_found": p5_found, "p5_scores": p5_scores, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_report": p9_report, "p9_mix": p9_mix}
 
 _ONCE = "SELECT urn, any_value(title) AS title, any_value(abstract) AS abstract, any_value(body) AS body FROM papers WHERE urn IS NOT NULL GROUP BY urn"
 
