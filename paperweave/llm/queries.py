@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweave.llm import distinctiveness, encoding, mixing, packing, term_counts
+from paperweave.llm import distinctiveness, encoding, mixing, packing, scanned, term_counts
 from paperweave.llm.tokens import count_tokens
 from paperweave.plans.runtime import cut_lineage, read_table
 
@@ -39,6 +39,14 @@ def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("score", F.round("score", 6))
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.Scan(read_table(spark, sf_dir, "papers"), "urn", ["abstract", "body"]).damage().select(F.col("key").alias("urn"), "field")
+
+
+def p7_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scanned.Scan(read_table(spark, sf_dir, "papers"), "urn", ["abstract", "body"]).repaired().withColumnRenamed("key", "urn")
+
+
 def _packs(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
     """The packs of the small, fixed table pack_specs, one after the other over the same measured documents."""
     specs = read_table(spark, sf_dir, "pack_specs").where("pack_name is not null and capacity_tokens > 0")
@@ -79,7 +87,7 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.assign(_sizes(spark, sf_dir), read_table(spark, sf_dir, "mix_targets")).orderBy("position", "source", "doc_id", "pass")
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_ngrams": p4_ngrams, "p5_found": p5_found, "p5_scores": p5_scores, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_report": p9_report, "p9_mix": p9_mix}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_ngrams": p4_ngrams, "p5_found": p5_found, "p5_scores": p5_scores, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_report": p9_report, "p9_mix": p9_mix}
 
 _ONCE = "SELECT urn, any_value(title) AS title, any_value(abstract) AS abstract, any_value(body) AS body FROM papers WHERE urn IS NOT NULL GROUP BY urn"
 
