@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweave.llm import distinctiveness, encoding, mixing, packing, scanned, term_counts
+from paperweave.llm import distinctiveness, encoding, mixing, packing, scanned, subjects, term_counts
 from paperweave.llm.tokens import count_tokens
 from paperweave.plans.runtime import cut_lineage, read_table
 
@@ -87,7 +87,17 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.assign(_sizes(spark, sf_dir), read_table(spark, sf_dir, "mix_targets")).orderBy("position", "source", "doc_id", "pass")
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_ngrams": p4_ngrams, "p5_found": p5_found, "p5_scores": p5_scores, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_report": p9_report, "p9_mix": p9_mix}
+def p10_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's subjects with their shares."""
+    documents = read_table(spark, sf_dir, "documents")
+    return subjects.classify(documents, subjects.train(documents, read_table(spark, sf_dir, "subject_labels"), read_table(spark, sf_dir, "subjects")))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_subjects(spark, sf_dir).select("doc_id", "subject")
+
+
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_ngrams": p4_ngrams, "p5_found": p5_found, "p5_scores": p5_scores, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_report": p9_report, "p9_mix": p9_mix, "p10_found": p10_found, "p10_subjects": p10_subjects}
 
 _ONCE = "SELECT urn, any_value(title) AS title, any_value(abstract) AS abstract, any_value(body) AS body FROM papers WHERE urn IS NOT NULL GROUP BY urn"
 
