@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweave.llm import distinctiveness, encoding, mixing, packing, scanned, subjects, term_counts
+from paperweave.llm import distinctiveness, encoding, mixing, names, packing, scanned, subjects, term_counts
 from paperweave.llm.tokens import count_tokens
 from paperweave.plans.runtime import cut_lineage, read_table
 
@@ -39,6 +39,15 @@ def p5_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("score", F.round("score", 6))
 
 
+def p6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with the person or group it means."""
+    return names.link_names(read_table(spark, sf_dir, "paper_authors"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.spelling_pairs(cut_lineage(p6_entities(spark, sf_dir)))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned.Scan(read_table(spark, sf_dir, "papers"), "urn", ["abstract", "body"]).damage().select(F.col("key").alias("urn"), "field")
 
@@ -97,7 +106,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_subjects(spark, sf_dir).select("doc_id", "subject")
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_ngrams": p4_ngrams, "p5_found": p5_found, "p5_scores": p5_scores, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_report": p9_report, "p9_mix": p9_mix, "p10_found": p10_found, "p10_subjects": p10_subjects}
+QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_ngrams": p4_ngrams, "p5_found": p5_found, "p5_scores": p5_scores, "p6_found": p6_found, "p6_entities": p6_entities, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_report": p9_report, "p9_mix": p9_mix, "p10_found": p10_found, "p10_subjects": p10_subjects}
 
 _ONCE = "SELECT urn, any_value(title) AS title, any_value(abstract) AS abstract, any_value(body) AS body FROM papers WHERE urn IS NOT NULL GROUP BY urn"
 
