@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweave.llm import distinctiveness, encoding, mixing, names, packing, scanned, subjects, term_counts
+from paperweave.llm import clusters, distinctiveness, encoding, mixing, names, packing, scanned, subjects, term_counts
 from paperweave.llm.tokens import count_tokens
 from paperweave.plans.runtime import cut_lineage, read_table
 
 TERM_RUN = "[A-Za-zÀ-ÖØ-öø-ÿ]+"
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = clusters.Clustering(read_table(spark, sf_dir, "papers"), "urn", "abstract")
+    return clusters.pairs(cut_lineage(made.clusters())).toDF("urn_a", "urn_b")
+
+
+def p1_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and most typical papers of every cluster."""
+    return clusters.Clustering(read_table(spark, sf_dir, "papers"), "urn", "abstract").described()
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.find_garbled(read_table(spark, sf_dir, "papers"), "urn", ["title", "abstract"]).select("urn", "field")
 
@@ -106,7 +116,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_subjects(spark, sf_dir).select("doc_id", "subject")
 
 
-QUERIES = {"p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_ngrams": p4_ngrams, "p5_found": p5_found, "p5_scores": p5_scores, "p6_found": p6_found, "p6_entities": p6_entities, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_report": p9_report, "p9_mix": p9_mix, "p10_found": p10_found, "p10_subjects": p10_subjects}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_ngrams": p4_ngrams, "p5_found": p5_found, "p5_scores": p5_scores, "p6_found": p6_found, "p6_entities": p6_entities, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_report": p9_report, "p9_mix": p9_mix, "p10_found": p10_found, "p10_subjects": p10_subjects}
 
 _ONCE = "SELECT urn, any_value(title) AS title, any_value(abstract) AS abstract, any_value(body) AS body FROM papers WHERE urn IS NOT NULL GROUP BY urn"
 
