@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperweave.llm import clusters, distinctiveness, encoding, mixing, names, packing, scanned, subjects, term_counts
+from paperweave.llm import clusters, distinctiveness, encoding, linkage, mixing, names, packing, scanned, subjects, term_counts
 from paperweave.llm.tokens import count_tokens
 from paperweave.plans.runtime import cut_lineage, read_table
 
@@ -30,6 +30,15 @@ def p2_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.restore(read_table(spark, sf_dir, "papers"), "urn", ["title", "abstract"])
 
 
+def p3_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate with its confidence."""
+    return linkage.link(*(read_table(spark, sf_dir, t) for t in ("bib_refs", "papers", "paper_authors")))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_links(spark, sf_dir).where("confidence >= 0.5").select("citing_urn", "ref_pos", "cited_urn")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     marked = term_counts.mark_terms(read_table(spark, sf_dir, "papers"), "urn", ["abstract", "body"], max_terms=2)
     return marked.where((F.col("n_terms") == 1) & F.col("mark").isNotNull()).select(F.col("ngram").alias("term"), "mark")
@@ -116,7 +125,7 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_subjects(spark, sf_dir).select("doc_id", "subject")
 
 
-QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_restored": p2_restored, "p4_found": p4_found, "p4_ngrams": p4_ngrams, "p5_found": p5_found, "p5_scores": p5_scores, "p6_found": p6_found, "p6_entities": p6_entities, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_report": p9_report, "p9_mix": p9_mix, "p10_found": p10_found, "p10_subjects": p10_subjects}
+QUERIES = {"p1_found": p1_found, "p1_clusters": p1_clusters, "p2_found": p2_found, "p2_restored": p2_restored, "p3_found": p3_found, "p3_links": p3_links, "p4_found": p4_found, "p4_ngrams": p4_ngrams, "p5_found": p5_found, "p5_scores": p5_scores, "p6_found": p6_found, "p6_entities": p6_entities, "p7_found": p7_found, "p7_repaired": p7_repaired, "p8_found": p8_found, "p8_containers": p8_containers, "p9_found": p9_found, "p9_report": p9_report, "p9_mix": p9_mix, "p10_found": p10_found, "p10_subjects": p10_subjects}
 
 _ONCE = "SELECT urn, any_value(title) AS title, any_value(abstract) AS abstract, any_value(body) AS body FROM papers WHERE urn IS NOT NULL GROUP BY urn"
 
