@@ -40,10 +40,25 @@ TAIL = re.compile(r"(?:\s*\((?:eds?|hrsg)\.?\)|[\s,]+(?:jr|sr|phd|ph\.d|md|ii|ii
 FORM = "name string, n bigint, kind string, surname string, given string, middle string"
 
 
+class _Folded(dict):
+    """Character to its lower-case form without accents, worked out on first use."""
+
+    #: Letters that do not decompose, and their plain neighbours.
+    PLAIN = dict(zip("łŁøØđĐßæÆœŒı", "lLoOdDsaAoOi"))
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        out = "".join(x for x in unicodedata.normalize("NFKD", self.PLAIN.get(c, c).lower()) if not unicodedata.combining(x))
+        self[code] = out
+        return out
+
+
+FOLDED = _Folded()
+
+
 def fold(text: str) -> str:
-    """Lower case without accents; letters that do not decompose are replaced by their plain neighbours."""
-    text = text.translate(str.maketrans("łŁøØđĐßæÆœŒı", "lLoOdDsaAoOi")).lower()
-    return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    """Lower case without accents."""
+    return text.lower() if text.isascii() else text.translate(FOLDED)
 
 
 def parts(name: str | None) -> tuple[str, list[str], list[str]]:
