@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperweave.operators.index import Index
 from paperweave.operators.search import FULL_TEXT, TITLE_AND_ABSTRACT, score_zones, top_k
+from paperweave.plans.runtime import cut_lineage
 
 
 def similarities(profiles: DataFrame) -> DataFrame:
@@ -76,5 +77,6 @@ def gossip_neighbours(similar: DataFrame, start: DataFrame, h: int = 2, cycles:
         heard = both.union(both.alias("x").join(both.alias("y"), F.col("x.buddy") == F.col("y.peer")).select("x.peer", "y.buddy")).where("peer <> buddy").distinct()
         rank = F.row_number().over(Window.partitionBy("peer").orderBy(F.desc(F.round("sim", 9)), "buddy"))
         best = heard.join(sims, ["peer", "buddy"]).withColumn("place", rank).where(F.col("place") <= h).select("peer", "buddy", "sim")
-        view = best.select("peer", "buddy").union(start.select("peer", "buddy")).distinct()
+        best = cut_lineage(best)
+        view = cut_lineage(best.select("peer", "buddy").union(start.select("peer", "buddy")).distinct())
     return best

@@ -78,8 +78,8 @@ def _links(alpha: float = 0.90, gate: str = "", where: str = "") -> str:
         scores AS (SELECT peer, citing_urn, ref_pos, urn, sum(CASE zone WHEN 'title' THEN {alpha} ELSE 1 - {alpha} END * weight * CASE WHEN norm > 0 THEN m * wq / norm ELSE 0 END) AS score FROM wq JOIN postings USING (peer, zone, term) GROUP BY ALL),
         best AS (SELECT * FROM scores {gate} QUALIFY row_number() OVER (PARTITION BY peer, citing_urn, ref_pos ORDER BY round(score, 9) DESC, urn) <= 5),
         cand AS (SELECT b.*, r.query, list_filter(string_split_regex(lower(p.title), '{SPACE}'), lambda w: w <> '') AS candidate FROM best b JOIN papers1 p USING (peer, urn) JOIN refs r USING (peer, citing_urn, ref_pos) WHERE b.urn <> b.citing_urn),
-        overlaps AS (SELECT *, len(list_filter(candidate, lambda w: list_contains(query, w))) / nullif(CAST(len(candidate) AS DOUBLE), 0) AS overlap FROM cand),
-        links AS (SELECT peer, citing_urn, ref_pos, urn AS cited_urn, round(overlap, 6) AS overlap FROM overlaps WHERE overlap > 0.85 QUALIFY row_number() OVER (PARTITION BY peer, citing_urn, ref_pos ORDER BY overlap DESC, urn) = 1)"""
+        measured AS (SELECT *, len(list_filter(candidate, lambda w: list_contains(query, w))) / nullif(CAST(len(candidate) AS DOUBLE), 0) AS overlap FROM cand),
+        links AS (SELECT peer, citing_urn, ref_pos, urn AS cited_urn, round(overlap, 6) AS overlap FROM measured WHERE overlap > 0.85 QUALIFY row_number() OVER (PARTITION BY peer, citing_urn, ref_pos ORDER BY overlap DESC, urn) = 1)"""
 
 
 CENTROID = f"""{INDEX}, own AS (SELECT * FROM postings WHERE zone = 'abstract'), docs AS (SELECT peer, count(DISTINCT urn) AS n FROM own GROUP BY peer),
@@ -89,8 +89,8 @@ CENTROID = f"""{INDEX}, own AS (SELECT * FROM postings WHERE zone = 'abstract'),
     placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY peer ORDER BY round(weight, 9) DESC, term) AS place FROM centroid)"""
 SIMILAR = f"""{CENTROID}, top50 AS MATERIALIZED (SELECT * FROM placed WHERE place <= 50), plen AS (SELECT peer, sqrt(sum(weight * weight)) AS len FROM top50 GROUP BY peer),
     unit AS (SELECT peer, term, weight / len AS w FROM top50 JOIN plen USING (peer) WHERE len > 0),
-    similar AS MATERIALIZED (SELECT a.peer AS peer_a, b.peer AS peer_b, sum(a.w * b.w) AS sim FROM unit a JOIN unit b USING (term) GROUP BY ALL),
-    buddies AS MATERIALIZED (SELECT peer_a AS peer, peer_b AS buddy, sim, CAST(row_number() OVER (PARTITION BY peer_a ORDER BY round(sim, 9) DESC, peer_b) AS INTEGER) AS buddy_rank FROM similar WHERE peer_a <> peer_b AND sim > 0 QUALIFY buddy_rank <= 2)"""
+    sims AS MATERIALIZED (SELECT a.peer AS peer_a, b.peer AS peer_b, sum(a.w * b.w) AS sim FROM unit a JOIN unit b USING (term) GROUP BY ALL),
+    buddies AS MATERIALIZED (SELECT peer_a AS peer, peer_b AS buddy, sim, CAST(row_number() OVER (PARTITION BY peer_a ORDER BY round(sim, 9) DESC, peer_b) AS INTEGER) AS buddy_rank FROM sims WHERE peer_a <> peer_b AND sim > 0 QUALIFY buddy_rank <= 2)"""
 
 
 def _score_of(text: str) -> str:
@@ -120,10 +120,10 @@ SQL = {
     "search_batch": f"{INDEX}, {_search(TITLE_ABSTRACT, k=5, name='a')}, {_search(TITLE_ABSTRACT, query=REPEATED, k=5, name='b')} SELECT 'a' AS query_id, * FROM founda UNION ALL SELECT 'b', * FROM foundb",
     "author_search": f"WITH {PAPERS} SELECT peer, urn FROM papers1 p WHERE EXISTS (SELECT 1 FROM paper_authors a WHERE a.peer = p.peer AND a.urn = p.urn AND list_contains(string_split_regex(lower(author_name), '{SPACE}'), 'guadalupe'))",
     "citation_counts": f"WITH {PAPERS} SELECT p.peer, p.urn, count(DISTINCT citing_urn) AS cited_by FROM papers1 p LEFT JOIN citations c ON c.peer = p.peer AND c.cited_urn = p.urn GROUP BY p.peer, p.urn",
-    "cited_by": f"WITH {PAPERS}, {EDGES}, top AS (SELECT peer, cited_urn FROM edges GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY peer ORDER BY count(*) DESC, cited_urn) = 1) SELECT peer, cited_urn, citing_urn FROM edges JOIN top USING (peer, cited_urn)",
+    "cited_by": f"WITH {PAPERS}, {EDGES}, top AS (SELECT peer, cited_urn FROM edges GROUP BY peer, cited_urn QUALIFY row_number() OVER (PARTITION BY peer ORDER BY count(*) DESC, cited_urn) = 1) SELECT peer, cited_urn, citing_urn FROM edges JOIN top USING (peer, cited_urn)",
     "search_enriched": f"{INDEX}, {_search({'title': 1.0}, k=3)} SELECT f.peer, result_rank, f.urn, p.title, (SELECT count(DISTINCT citing_urn) FROM citations c WHERE c.peer = f.peer AND c.cited_urn = f.urn) AS cited_by FROM found f JOIN papers1 p USING (peer, urn)",
     "link_citations": f"{_links()} SELECT * FROM links",
-    "link_citations_gated": f"{_links(0.95, 'WHERE true')} SELECT DISTINCT peer, citing_urn, cited_urn FROM (SELECT peer, citing_urn, ref_pos, urn AS cited_urn FROM overlaps WHERE score > 0.20 AND overlap > 0.85 QUALIFY row_number() OVER (PARTITION BY peer, citing_urn, ref_pos ORDER BY overlap DESC, urn) = 1)",
+    "link_citations_gated": f"{_links(0.95, 'WHERE true')} SELECT DISTINCT peer, citing_urn, cited_urn FROM (SELECT peer, citing_urn, ref_pos, urn AS cited_urn FROM measured WHERE score > 0.20 AND overlap > 0.85 QUALIFY row_number() OVER (PARTITION BY peer, citing_urn, ref_pos ORDER BY overlap DESC, urn) = 1)",
     "link_citations_incremental": f"{_links(where='WHERE known IS NULL')} SELECT DISTINCT peer, citing_urn, cited_urn FROM links",
     "link_evaluation": f"""{_links()}, f AS (SELECT DISTINCT peer, citing_urn, cited_urn FROM links WHERE citing_urn IN (SELECT citing_urn FROM citations)), t AS (SELECT DISTINCT peer, citing_urn, cited_urn FROM citations),
         c AS (SELECT count(*) FILTER (f.peer IS NOT NULL AND t.peer IS NOT NULL) AS tp, count(*) FILTER (t.peer IS NULL) AS fp, count(*) FILTER (f.peer IS NULL) AS fn FROM f FULL JOIN t ON f.peer = t.peer AND f.citing_urn = t.citing_urn AND f.cited_urn = t.cited_urn)
@@ -134,14 +134,14 @@ SQL = {
     "pagerank_lineitem": f"""WITH nodes AS (SELECT 'all' AS peer, p_partkey AS urn FROM part), edges AS MATERIALIZED (SELECT DISTINCT 'all' AS peer, a AS citing_urn, b AS cited_urn FROM
         (SELECT l_partkey AS a, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS b FROM lineitem WHERE l_returnflag = 'R') WHERE a > b), {_walk()} SELECT urn, round(rank, 9) AS rank FROM x10""",
     "dangling_nodes": f"WITH {PAPERS}, {EDGES} SELECT peer, urn FROM papers1 p WHERE NOT EXISTS (SELECT 1 FROM edges e WHERE e.peer = p.peer AND e.citing_urn = p.urn)",
-    "citation_components": f"""WITH RECURSIVE {PAPERS}, {EDGES}, both AS (SELECT citing_urn AS a, cited_urn AS b FROM edges UNION SELECT cited_urn, citing_urn FROM edges),
-        reach AS (SELECT a AS urn, a AS r FROM both UNION SELECT reach.urn, both.b FROM reach JOIN both ON both.a = reach.r) SELECT urn, min(r) AS component FROM reach GROUP BY urn""",
+    "citation_components": f"""WITH RECURSIVE {PAPERS}, {EDGES}, sym AS (SELECT citing_urn AS a, cited_urn AS b FROM edges UNION SELECT cited_urn, citing_urn FROM edges),
+        reach AS (SELECT a AS urn, a AS r FROM sym UNION SELECT reach.urn, sym.b FROM reach JOIN sym ON sym.a = reach.r) SELECT urn, min(r) AS component FROM reach GROUP BY urn""",
     "peer_centroid": f"{CENTROID} SELECT peer, term, round(weight, 6) AS weight FROM centroid",
     "peer_rss": f"""{CENTROID}, d AS (SELECT o.peer, o.urn, sum(o.weight * o.weight) AS dd, sum(o.weight * c.weight) AS dc FROM own o JOIN centroid c USING (peer, term) GROUP BY ALL)
         SELECT peer, count(*) AS n_docs, round(sum(dd - 2 * dc + 1), 6) AS rss FROM d GROUP BY peer""",
     "centroid_top50": f"{CENTROID} SELECT peer, term, round(weight, 6) AS weight, CAST(place AS INTEGER) AS place FROM placed WHERE place <= 50",
     "centroid_ratio": f"{CENTROID} SELECT peer, round(sqrt(sum(weight * weight) FILTER (place <= 50)) / sqrt(sum(weight * weight)), 6) AS ratio FROM placed GROUP BY peer",
-    "peer_similarity": f"{SIMILAR} SELECT peer_a, peer_b, round(sim, 6) AS sim FROM similar",
+    "peer_similarity": f"{SIMILAR} SELECT peer_a, peer_b, round(sim, 6) AS sim FROM sims",
     "taste_buddies": f"{SIMILAR} SELECT peer, buddy_rank, buddy, round(sim, 6) AS sim FROM buddies",
     "friendship_stats": f"{SIMILAR}, p AS (SELECT DISTINCT peer FROM papers1), b AS (SELECT peer, count(*) AS n FROM buddies GROUP BY peer) SELECT count(*) AS peers, count(*) FILTER (n IS NULL) AS alone, CAST(coalesce(sum(n), 0) AS BIGINT) AS friendships FROM p LEFT JOIN b USING (peer)",
     "recommendations": f"""{SIMILAR}, asked AS (SELECT b.peer AS asker, b.buddy AS peer, term FROM buddies b JOIN top50 t ON t.peer = b.peer),
@@ -153,11 +153,7 @@ SQL = {
     "tag_cloud": f"""{CENTROID}, t AS (SELECT peer, term, weight, least(min(weight) OVER (PARTITION BY peer), 1.0) AS lo, greatest(max(weight) OVER (PARTITION BY peer), 0.0) AS hi FROM placed WHERE place <= 30)
         SELECT peer, term, CAST(ceil(round(6 + 20 * (weight - lo) / (hi - lo), 9)) AS INTEGER) AS font FROM t WHERE hi > lo""",
     "paper_classifier": f"SELECT doc_id, CAST({_score_of('text')} AS DOUBLE) AS score, {_score_of('text')} > 1.99 AS paper FROM documents",
-    "edit_distance": f"WITH {PAPERS}, {REFS} SELECT citing_urn, ref_pos, CAST(levenshtein(upper(r.title), upper(p.title)) AS INTEGER) AS distance FROM refs1 r JOIN papers1 p ON p.urn = r.known",
     "hamming_distance": "SELECT a.n_name AS a, b.n_name AS b, CAST(hamming(upper(a.n_name), upper(b.n_name)) AS INTEGER) AS distance FROM nation a JOIN nation b ON length(a.n_name) = length(b.n_name)",
-    "edit_distance_links": f"""WITH {PAPERS}, r AS (SELECT peer, citing_urn, ref_pos, any_value(title) AS title FROM bib_refs WHERE title IS NOT NULL AND cited_urn IS NOT NULL GROUP BY ALL)
-        SELECT r.peer, citing_urn, ref_pos, p.urn AS cited_urn, CAST(levenshtein(upper(r.title), upper(p.title)) AS INTEGER) AS distance FROM r JOIN papers1 p ON p.peer = r.peer AND abs(length(p.title) - length(r.title)) < 15 WHERE levenshtein(upper(r.title), upper(p.title)) < 15
-        QUALIFY row_number() OVER (PARTITION BY r.peer, citing_urn, ref_pos ORDER BY levenshtein(upper(r.title), upper(p.title)), p.urn) = 1""",
     "clean_titles": f"SELECT urn, trim(regexp_replace(replace(replace(replace(replace(any_value(title), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), 'ﬃ', 'ffi'), '{SPACE}+', ' ', 'g')) AS title FROM papers WHERE title IS NOT NULL GROUP BY urn",
     "known_resources": "WITH r AS (SELECT peer, nullif(regexp_extract(resource_url, '([^/]+)\\.[^./]+$', 1), '') AS resource_key FROM papers) SELECT DISTINCT resource_key FROM r WHERE resource_key IS NOT NULL AND resource_key NOT IN (SELECT resource_key FROM r WHERE peer = 'mirelo' AND resource_key IS NOT NULL)",
     "peer_presence": """WITH e AS (SELECT DISTINCT peer, ts FROM peer_events WHERE peer IS NOT NULL AND ts IS NOT NULL), g AS (SELECT peer, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY peer ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM e),
