@@ -17,9 +17,11 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", most_roun
 
     Null ends, loops, repeated and reversed edges are harmless. An empty edge table gives no rows.
     """
-    pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    loops = pairs.where("u = v").select("u").distinct()
-    current = cut_lineage(pairs.where("u > v").distinct())
+    ends = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    # read from the checkpoint below, so that whatever made the edges runs once
+    pairs = cut_lineage(ends.distinct())
+    loops = pairs.where("u = v").select("u")
+    current = pairs.where("u > v")
     before = None
     for _ in range(most_rounds):
         both = current.union(current.select("v", "u"))
