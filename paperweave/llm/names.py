@@ -257,12 +257,13 @@ def link_names(records: DataFrame, name: str = "author_name", clearly: float = 3
     weak = F.udf(lambda g: short(g or ""), "boolean")
     looks_short = grouped.withColumn("is_short", weak("given"))
     people = looks_short.groupBy("person").agg(F.min("is_short").alias("only_short"), F.sum("n").alias("weight"), F.count("*").alias("held"))
-    member = looks_short.join(people, "person")
+    member = cut_lineage(looks_short.join(people, "person"))
     both = related.where("related = 1").select("a", "b").union(related.where("related = 1").select("b", "a"))
     left = member.select(F.col("form").alias("a"), F.col("person").alias("pa"), F.col("middle").alias("ma"), F.col("given").alias("ga"), F.col("only_short").alias("sa"), F.col("weight").alias("wa"))
     right = member.select(F.col("form").alias("b"), F.col("person").alias("pb"), F.col("middle").alias("mb"), F.col("given").alias("gb"), F.col("only_short").alias("sb"), F.col("weight").alias("wb"))
     links = both.join(left, "a").join(right, "b").where("pa <> pb")
     # the shorter side of a link joins the longer one: initials join names, cut-off names join whole ones
+    links = cut_lineage(links)
     joins = links.where("(sa and not sb) or (sa = sb and length(ga) < length(gb))").where("not (sb and not sa)")
     fits = joins.groupBy("pa", "pb").agg(F.max((F.col("ma") != "") & (F.col("ma") == F.col("mb"))).cast("int").alias("middle"), F.max("wb").alias("weight"))
     order = Window.partitionBy("pa").orderBy(F.desc("middle"), F.desc("weight"), "pb")
