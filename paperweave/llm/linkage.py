@@ -3,6 +3,7 @@
 Candidates. Titles and printed references are reduced to consonant skeletons, which wrong decodings, missing accents and many slips leave
 as they are. A paper is indexed under the pairs of neighbouring title words that few papers of its peer share (at least its
 three rarest); a reference and a paper of one peer become a candidate if they share one of these and the first author, or two that are very rare.
+Besides, and however many papers share it, every run of three title words (of a shorter title, the whole of it) makes a candidate by itself, with any author.
 
 Confidence. Several heuristic functions vote for, against or not at all on each candidate. A generative model with the
 hidden class, fitted by expectation maximisation on the counts of vote patterns, learns how often each function is right and how the
@@ -34,8 +35,10 @@ TITLES = [re.compile(x) for x in (r"[“\"«]([^”\"»]{4,}?)[,.]?[”\"»]", r
 #: Functions by group; within a group their dependence is learned.
 GROUPS = (("title_in_raw", "title_field", "title_run"), ("first_author", "authors"), ("year",), ("sequel",), ("known",))
 FUNCTIONS = [f for g in GROUPS for f in g]
-#: Bits of the key filter: a fixed 2 MB however many papers there are; a fuller filter only lets more keys through.
-FILTER_BITS = 24
+#: Bits of the key filter: a fixed 8 MB however many papers there are; a fuller filter only lets more keys through.
+FILTER_BITS = 26
+#: How far the two places of a key in the filter are shifted.
+PLACES = (64 - FILTER_BITS, 8)
 
 
 def plain(text: str | None) -> str:
@@ -90,6 +93,24 @@ def _paper_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"urn": pa.array(urns, pa.string()), "index_key": pa.array(keys, pa.int64()), "first_author": pa.array(first, pa.int64())})
 
 
+def _run_keys(pair: np.ndarray, third: np.ndarray) -> np.ndarray:
+    """Keys of three neighbouring words, from those of the first two and the third."""
+    return _mix(third, pair.view(np.uint64), np.full(len(pair), 13, np.uint64))
+
+
+def _paper_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    cache: dict[str, int] = {}
+    for batch in batches:
+        urns, keys = [], []
+        for peer, urn, title in zip(*(batch.column(c).to_pylist() for c in ("peer", "urn", "title"))):
+            own = _title_keys(peer, title, cache)
+            h = np.array([_cached(t, cache) for t in tokens(title)], np.uint64)
+            own = set((_run_keys(own[:-1], h[2:]) if len(h) > 2 else own).tolist())
+            urns.extend([urn] * len(own))
+            keys.extend(own)
+        yield pa.record_batch({"urn": pa.array(urns, pa.string()), "index_key": pa.array(keys, pa.int64())})
+
+
 def _with_author(key: np.ndarray, author: np.ndarray) -> np.ndarray:
     """A title key and a first author in one key."""
     return _mix(author.astype(np.uint64), key.view(np.uint64), np.full(len(key), 11, np.uint64))
@@ -102,7 +123,7 @@ def _author_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _reference_keys(bits: np.ndarray):
-    """Keys that pass the filter: of all neighbouring words of a reference, and of these together with each of its first long words, one of which is the first author's surname."""
+    """Keys that pass the filter: of all neighbouring words of a reference, of these together with each of its first long words, one of which is the first author's surname, and of all runs of three words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
@@ -125,11 +146,14 @@ def _reference_keys(bits: np.ndarray):
             authors = np.zeros((len(refs), 3), np.uint64)
             for i, e in enumerate(early):
                 authors[i, : len(e)] = e
-            key = np.concatenate([key, *(_with_author(key, authors[own, i]) for i in range(3))])
-            own = np.tile(own, 4)
-            at = key.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
-            kept = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-            key, own = key[kept], own[kept]
+            third = np.flatnonzero(owner[2:] == owner[:-2]) if len(owner) > 2 else inner[:0]
+            runs = _run_keys(_mix(peer[third], h[third], h[third + 1]), h[third + 2])
+            key = np.concatenate([key, *(_with_author(key, authors[own, i]) for i in range(3)), runs])
+            own = np.concatenate([np.tile(own, 4), owner[third]])
+            for shift in PLACES:
+                at = (key.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1)
+                kept = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                key, own = key[kept], own[kept]
             order = np.lexsort((key, own))
             key, own = key[order], own[order]
             once = np.ones(len(key), bool)
@@ -140,12 +164,12 @@ def _reference_keys(bits: np.ndarray):
 
 
 def _key_filter(index: DataFrame) -> np.ndarray:
-    """One bit per hash prefix, set where a key of the index falls; at most 2**18 rows reach the driver."""
-    place = F.shiftrightunsigned("index_key", 64 - FILTER_BITS)
-    words = index.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(index_key, {64 - FILTER_BITS}) % 64 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    """Two bits per key of the index; at most 2**20 rows reach the driver, as Arrow columns."""
+    places = F.array(*(F.shiftrightunsigned("index_key", shift).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for shift in PLACES))
+    one = index.select(F.explode(places).alias("place"))
+    words = one.select(F.shiftright("place", 6).alias("at"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
-    for r in words.collect():
-        out[r.at] = r.bits
+    out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
     return out.view(np.uint8)
 
 
@@ -276,22 +300,24 @@ def fit_label_model(patterns: dict[int, int], rounds: int = 50, smooth: float =
 
 
 def index_papers(papers: DataFrame, few: int = 30, rarest: int = 3, telling: int = 3) -> DataFrame:
-    """(urn, index_key, author): a paper's title keys that at most ``few`` papers of its peer share, at least its ``rarest`` ones, each together with the
-    first author; and by themselves those that at most ``telling`` papers share, so that a frequent title is never met without its author."""
+    """(urn, index_key, enough): a paper's title keys that at most ``few`` papers of its peer share, at least its ``rarest`` ones, each together with the
+    first author; and by themselves those that at most ``telling`` papers share, so that a frequent title is never met without its author by these; and all its
+    runs of three title words, whose number of papers has no bound. ``enough``: the key makes a candidate by itself."""
     keys = papers.mapInArrow(_paper_keys, "urn string, index_key bigint, first_author bigint")
     sizes = keys.groupBy("index_key").agg(F.count("*").alias("size"))
     rank = F.row_number().over(Window.partitionBy("urn").orderBy("size", "index_key"))
     kept = cut_lineage(keys.join(sizes, "index_key").withColumn("rank", rank).where((F.col("size") <= few) | (F.col("rank") <= rarest)))
     with_author = kept.where("first_author is not null").select("urn", "index_key", "first_author").mapInArrow(_author_keys, "urn string, index_key bigint")
-    alone = kept.where(F.col("size") <= telling).select("urn", "index_key", F.lit(False).alias("author"))
-    return with_author.withColumn("author", F.lit(True)).unionByName(alone)
+    alone = kept.where(F.col("size") <= telling).select("urn", "index_key", F.lit(False).alias("enough"))
+    runs = papers.select("peer", "urn", "title").mapInArrow(_paper_runs, "urn string, index_key bigint")
+    return with_author.unionByName(runs).withColumn("enough", F.lit(True)).unionByName(alone)
 
 
 def candidates(references: DataFrame, index: DataFrame) -> DataFrame:
-    """(ref, urn) of references and papers of a peer that share a title key and the first author, or two very rare title keys."""
+    """(ref, urn) of references and papers of a peer that share a title key and the first author, two very rare title keys, or three neighbouring title words."""
     probes = references.select("peer", "ref", "raw", "title").mapInArrow(_reference_keys(_key_filter(index)), "ref bigint, index_key bigint")
     shared = probes.join(index, "index_key")
-    return shared.groupBy("ref", "urn").agg(F.count("*").alias("n"), F.max("author").alias("author")).where("author or n > 1").select("ref", "urn")
+    return shared.groupBy("ref", "urn").agg(F.count("*").alias("n"), F.max("enough").alias("enough")).where("enough or n > 1").select("ref", "urn")
 
 
 def _digit(function: str) -> Column:

@@ -142,3 +142,14 @@ def test_label_model_finds_the_better_functions():
     posterior = linkage.fit_label_model(dict(patterns))
     assert np.mean([(posterior[c] > 0.5) == y for c, ys in truth.items() for y in ys]) > 0.97
     assert linkage.fit_label_model({}) == {}
+
+
+def test_candidates_do_not_depend_on_the_number_of_papers_with_common_words(spark):
+    words = ["graph", "model", "network", "search", "index", "query", "store"]
+    titles = [" ".join(words[(i + step * k) % 7] for k in range(5)) for step in (1, 2, 3) for i in range(7)] * 40
+    papers = [("p", f"u{i}", t, ["farkas"], None) for i, t in enumerate(titles)]
+    described = spark.createDataFrame(papers, "peer string, urn string, title string, surnames array<string>, resource_url string")
+    # the printed reference begins with the second author, and no title key is rare
+    references = spark.createDataFrame([("p", 1, f"Novak, B., Lindgren, C., Horvath, D. and Farkas, A. (1999). {titles[0]}. In Proc.", None)], "peer string, ref bigint, raw string, title string")
+    found = {r.urn for r in linkage.candidates(references, linkage.index_papers(described)).collect()}
+    assert {f"u{i}" for i, t in enumerate(titles) if t == titles[0]} <= found
