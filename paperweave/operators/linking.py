@@ -49,14 +49,16 @@ def link_by_edit_distance(papers: DataFrame, references: DataFrame, below: int =
     """(peer, citing_urn, ref_pos, cited_urn, distance): the paper whose title is nearest, if nearer than ``below`` edits; ties go to the smaller urn.
 
     Titles meet only within a peer and if their lengths differ by less than ``below``, which loses no pair; the distance stops counting at that bound.
-    So wide a bound leaves no sharper exact filter: each reference is still compared with the papers of similar title length, and ``link_citations`` is the
+    So wide a bound leaves no sharper exact filter: each distinct printed title is still compared with the papers of similar title length, and ``link_citations`` is the
     operator for large peers.
     """
     refs = references.where("title is not null").dropDuplicates(["peer", "citing_urn", "ref_pos"]).select("peer", "citing_urn", "ref_pos", F.upper("title").alias("t"), F.length("title").alias("length"))
+    printed = refs.select("peer", "t", "length").distinct()
     known = papers.select("peer", "urn", F.upper("title").alias("p"), F.explode(F.sequence(F.greatest(F.length("title") - (below - 1), F.lit(0)), F.length("title") + (below - 1))).alias("length"))
-    near = refs.join(known, ["peer", "length"]).withColumn("distance", F.levenshtein("t", "p", below - 1)).where("distance >= 0")
-    order = Window.partitionBy("peer", "citing_urn", "ref_pos").orderBy("distance", "urn")
-    return near.withColumn("first", F.row_number().over(order)).where("first = 1").select("peer", "citing_urn", "ref_pos", F.col("urn").alias("cited_urn"), "distance")
+    near = printed.join(known, ["peer", "length"]).withColumn("distance", F.levenshtein("t", "p", below - 1)).where("distance >= 0")
+    order = Window.partitionBy("peer", "t").orderBy("distance", "urn")
+    nearest = near.withColumn("first", F.row_number().over(order)).where("first = 1").select("peer", "t", "urn", "distance")
+    return refs.join(nearest, ["peer", "t"]).select("peer", "citing_urn", "ref_pos", F.col("urn").alias("cited_urn"), "distance")
 
 
 def citation_edges(links: DataFrame) -> DataFrame:

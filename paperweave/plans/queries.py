@@ -329,7 +329,7 @@ def hamming_distance(spark, d):
 
 
 def edit_distance_links(spark, d):
-    return linking.link_by_edit_distance(_papers(spark, d), read_table(spark, d, "bib_refs").where("cited_urn is not null"))
+    return linking.link_by_edit_distance(_papers(spark, d), read_table(spark, d, "bib_refs"))
 
 
 def clean_titles(spark, d):

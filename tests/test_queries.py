@@ -21,3 +21,9 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_edit_distance_links_cover_references_without_an_earlier_link(spark):
+    links = QUERIES["edit_distance_links"](spark, DATA)
+    unresolved = spark.read.parquet(f"{DATA}/bib_refs.parquet").where("cited_urn is null").select("peer", "citing_urn", "ref_pos")
+    assert links.join(unresolved, ["peer", "citing_urn", "ref_pos"], "left_semi").count() > 0
