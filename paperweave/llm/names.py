@@ -202,7 +202,7 @@ def short(given: str) -> bool:
 def _keys(shortest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             for form, surname, given in zip(*(batch.column(c).to_pylist() for c in ("form", "surname", "given"))):
                 initial = given[:1]
                 own = {f"s{surname[i:]}" for i in range(max(1, len(surname) - shortest + 1))}
@@ -213,7 +213,8 @@ def _keys(shortest: int):
                     out[1].append(form)
                     out[2].append(initial)
                     out[3].append(key == f"s{surname}")
-            yield pa.record_batch({"index_key": pa.array(out[0], pa.string()), "form": pa.array(out[1], pa.string()), "initial": pa.array(out[2], pa.string()), "whole": pa.array(out[3], pa.bool_())})
+                    out[4].append(given)
+            yield pa.record_batch({"index_key": pa.array(out[0], pa.string()), "form": pa.array(out[1], pa.string()), "initial": pa.array(out[2], pa.string()), "whole": pa.array(out[3], pa.bool_()), "given": pa.array(out[4], pa.string())})
 
     return run
 
@@ -225,14 +226,16 @@ def _related(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_pairs(forms: DataFrame, shortest: int = 5, common: int = 60) -> DataFrame:
-    """(a, b) pairs of forms that share an index key. A suffix of more than ``common`` forms is refined by the initial; of those, suffixes that are
-    still too common are left to longer ones, as the whole surname, refined, is always kept."""
-    keys = cut_lineage(forms.mapInArrow(_keys(shortest), "index_key string, form string, initial string, whole boolean"))
+    """(a, b) pairs of forms that share an index key. A suffix of more than ``common`` forms is refined by the initial; of those, keys that are
+    still too common and no whole surname are refined by the whole given name, which loses no pair: forms of different surnames are related only if
+    their given names agree, and forms of one surname meet under it."""
+    keys = cut_lineage(forms.mapInArrow(_keys(shortest), "index_key string, form string, initial string, whole boolean, given string"))
     sizes = keys.groupBy("index_key").agg(F.count("*").alias("size"), F.max("whole").alias("kept"))
     rare = keys.join(sizes.where(F.col("size").between(2, common)).select("index_key"), "index_key").select("index_key", "form")
-    frequent = keys.join(sizes.where(F.col("size") > common).select("index_key", "kept"), "index_key").select(F.concat_ws("|", "index_key", "initial").alias("index_key"), "form", "kept")
+    frequent = keys.join(sizes.where(F.col("size") > common).select("index_key", "kept"), "index_key").select(F.concat_ws("|", "index_key", "initial").alias("index_key"), "form", "kept", "given")
     refined_sizes = frequent.groupBy("index_key").agg(F.count("*").alias("size"))
-    refined = frequent.join(refined_sizes, "index_key").where((F.col("size") > 1) & ((F.col("size") <= common) | F.col("kept"))).select("index_key", "form")
+    sized = frequent.join(refined_sizes, "index_key").where(F.col("size") > 1)
+    refined = sized.select(F.when((F.col("size") <= common) | F.col("kept"), F.col("index_key")).otherwise(F.concat_ws("|", "index_key", F.coalesce("given", F.lit("")))).alias("index_key"), "form")
     index = rare.union(refined)
     left, right = index.select("index_key", F.col("form").alias("a")), index.select("index_key", F.col("form").alias("b"))
     return left.join(right, "index_key").where("a < b").select("a", "b").distinct()

@@ -153,3 +153,11 @@ def test_candidates_do_not_depend_on_the_number_of_papers_with_common_words(spar
     references = spark.createDataFrame([("p", 1, f"Novak, B., Lindgren, C., Horvath, D. and Farkas, A. (1999). {titles[0]}. In Proc.", None)], "peer string, ref bigint, raw string, title string")
     found = {r.urn for r in linkage.candidates(references, linkage.index_papers(described)).collect()}
     assert {f"u{i}" for i, t in enumerate(titles) if t == titles[0]} <= found
+
+
+def test_common_name_keys_are_refined_not_dropped(spark):
+    surnames = ["sch" + a + b + "dtbauer" for a in "bdfgklmnpr" for b in "aeiouyw"]
+    forms = spark.createDataFrame([(f"person|{s}|klara|", s, "klara") for s in surnames], "form string, surname string, given string")
+    got = {(r.a, r.b) for r in names.candidate_pairs(forms).collect()}
+    # a slip inside the surname: all keys that the two share hold all 70 forms
+    assert ("person|schmidtbauer|klara|", "person|schmodtbauer|klara|") in got
