@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from paperweave.llm import clusters, encoding, linkage, names, packing, scanned, term_counts
+from paperweave.llm import clusters, encoding, linkage, names, packing, scanned, subjects, term_counts
 from paperweave.llm.queries import QUERIES, SQL
 from paperweave.plans.runtime import read_table
 from tests.compare import DATA, same
@@ -161,3 +161,10 @@ def test_common_name_keys_are_refined_not_dropped(spark):
     got = {(r.a, r.b) for r in names.candidate_pairs(forms).collect()}
     # a slip inside the surname: all keys that the two share hold all 70 forms
     assert ("person|schmidtbauer|klara|", "person|schmodtbauer|klara|") in got
+
+
+def test_subject_thresholds_follow_one_rule_at_every_size(spark):
+    lesser = [("a", 0.13 if i % 2 else 0.31) for i in range(30)] + [("b", 0.2) for i in range(10)]
+    composed = spark.createDataFrame([(i, s, share, False) for i, (s, share) in enumerate(lesser)], "doc_id bigint, subject string, share double, foremost boolean")
+    copies = composed.crossJoin(spark.range(100).withColumnRenamed("id", "copy")).drop("copy")
+    assert subjects.thresholds(composed, ["a", "b"]) == subjects.thresholds(copies, ["a", "b"])
