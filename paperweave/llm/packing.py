@@ -57,22 +57,40 @@ def hilbert_keys(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     return keys
 
 
+class _Buckets(dict):
+    """Word to bucket, hashed on first use."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = bucket = zlib.crc32(word.lower().encode()) % BUCKETS
+        return bucket
+
+
+def _points(texts: list[str], buckets: _Buckets, project: np.ndarray) -> np.ndarray:
+    """Projected word vectors of the texts, of unit length before the projection; a text without words lies in the origin."""
+    words: list[int] = []
+    length = np.zeros(len(texts), np.int64)
+    for i, text in enumerate(texts):
+        found = WORD.findall(text)
+        words.extend(map(buckets.__getitem__, found))
+        length[i] = len(found)
+    points = np.zeros((len(texts), DIMENSIONS))
+    if words:
+        cells, counts = np.unique(np.repeat(np.arange(len(texts)) * BUCKETS, length) + np.asarray(words), return_counts=True)
+        weights = np.log1p(counts)
+        owner = cells // BUCKETS
+        start = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        moved = np.add.reduceat(weights[:, None] * project[cells % BUCKETS], start, axis=0)
+        points[owner[start]] = moved / np.sqrt(np.add.reduceat(weights**2, start))[:, None]
+    return points
+
+
 def _measure(vocabulary: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         project = np.random.default_rng(20090706).choice([-1.0, 1.0], size=(BUCKETS, DIMENSIONS))
-        buckets: dict[str, int] = {}
+        buckets = _Buckets()
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            points = np.zeros((len(texts), DIMENSIONS))
-            for i, text in enumerate(texts):
-                words = WORD.findall(text)
-                if not words:
-                    continue
-                for w in set(words) - buckets.keys():
-                    buckets[w] = zlib.crc32(w.lower().encode()) % BUCKETS
-                ids, counts = np.unique([buckets[w] for w in words], return_counts=True)
-                weights = np.log1p(counts)
-                points[i] = weights @ project[ids] / np.sqrt((weights**2).sum())
+            points = _points(texts, buckets, project)
             if len(buckets) > 500_000:
                 buckets.clear()
             # coordinates are close to standard normal: the logistic curve spreads them evenly over the grid
