@@ -1,17 +1,18 @@
 """Linking references to the papers that they cite, without a shared key, by a label model.
 
 Candidates. Titles and printed references are reduced to consonant skeletons, which wrong decodings, missing accents and many slips leave
-as they are. A paper is indexed under the pairs of neighbouring title words that few papers of its peer share (at least its
-three rarest); a reference and a paper of one peer become a candidate if they share one of these and the first author, or two that are very rare.
-Besides, and however many papers share it, every run of three title words (of a shorter title, the whole of it) makes a candidate by itself, with any author.
+as they are. A reference and a paper of its peer are a candidate if the reference holds the surname of any author and at least HELD of the title's words, or
+at least RUNS of the title's runs of three words, wherever they stand. All such pairs are found, by prefixes: of n title words of which m must be there, one of
+the n - m + 1 rarest must be, so a paper is indexed under these only, and no key needs a cap.
 
 Confidence. Several heuristic functions vote for, against or not at all on each candidate. A generative model with the
 hidden class, fitted by expectation maximisation on the counts of vote patterns, learns how often each function is right and how the
-functions of a group (title, authors) depend on each other, and gives the probability that the candidate is a match.
+functions of a group (title, authors) depend on each other, and gives the probability that the candidate is a match. Nothing overrules it.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -19,7 +20,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperweave.llm.names import common_ratio, fold, forms_of
@@ -28,24 +29,24 @@ from paperweave.plans.runtime import cut_lineage
 TOKEN = re.compile(r"[a-z0-9]+")
 HYPHEN = re.compile(r"(?<=\w)\s*[-\xad¬‐]+\s*(?=\w)")
 NOT_CONSONANT = re.compile(r"[^bcdfghj-np-tvwxz0-9]")
+NUMERAL = re.compile(r"(?:\d+|[ivx]+)$")
 YEAR = re.compile(r"\b(1[89]\d\d|20\d\d)\b")
-SEQUEL = re.compile(r"\b(?:part|teil|partie|parte)\s+([ivx]+|\d+)\b|technical\s+note\s+(\d+)|\b(extended\s+version|more\s+on|a\s+second\s+look|revisited|erratum|reply)\b")
 #: Where the title stands in the printed styles: in quotation marks, after a year in or without brackets, after the authors and a full stop.
 TITLES = [re.compile(x) for x in (r"[“\"«]([^”\"»]{4,}?)[,.]?[”\"»]", r"\((?:\d{4}|n\.d\.)\w?\)\.\s+(.{4,}?[.?])\s", r"(?:\d{4}|n\.d\.)\.?\s+(.{4,}?[.?])\s+In\s", r"^(?:\[?\d+\]?\.?\s+)?.*?\w{3,}(?: et al)?\.\s+(.{4,}?[.?])\s")]
 #: Functions by group; within a group their dependence is learned.
-GROUPS = (("title_in_raw", "title_field", "title_run"), ("first_author", "authors"), ("year",), ("sequel",), ("known",))
+GROUPS = (("title_in_raw", "title_run", "title_same"), ("first_author", "authors"), ("year",), ("known",))
 FUNCTIONS = [f for g in GROUPS for f in g]
-#: Bits of the key filter: a fixed 8 MB however many papers there are; a fuller filter only lets more keys through.
-FILTER_BITS = 26
-#: How far the two places of a key in the filter are shifted.
-PLACES = (64 - FILTER_BITS, 8)
-
+#: Shares of a title's words (beside an author) and of its runs of three words that make a candidate.
+HELD, RUNS = 0.4, 0.6
+#: Filter bits per indexed key, and the most there are of them (128 MB): a fuller filter only lets more keys through to the join.
+BITS_A_KEY, MOST_BITS = 12, 30
 
 def plain(text: str | None) -> str:
     """Folded, with hyphenated and broken words joined and what is still beyond ASCII dropped."""
     return fold(HYPHEN.sub("", text or "")).encode("ascii", "ignore").decode()
 
 
+@lru_cache(maxsize=200_000)
 def skeleton(token: str) -> str:
     return NOT_CONSONANT.sub("", token) or token[:1]
 
@@ -65,13 +66,6 @@ def _mix(peer: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(29))).view(np.int64)
 
 
-def _title_keys(peer: str, title: str | None, cache: dict[str, int]) -> np.ndarray:
-    """Keys of neighbouring words; of a title of one word, of that word."""
-    h = np.array([_cached(t, cache) for t in tokens(title)], np.uint64)
-    own = np.full(max(len(h) - 1, min(len(h), 1)), _hash(peer), np.uint64)
-    return _mix(own, h[:-1], h[1:]) if len(h) > 1 else _mix(own, h, h)
-
-
 def _cached(token: str, cache: dict[str, int]) -> int:
     if token not in cache:
         if len(cache) > 400_000:
@@ -80,50 +74,107 @@ def _cached(token: str, cache: dict[str, int]) -> int:
     return cache[token]
 
 
+def telling(line: list[str]) -> list[str]:
+    """Skeletons of a title's words by which it is looked for: the longer ones; of a title without such, all."""
+    return [x for x in line if len(x) > 2] or line
+
+
+def runs(line: list[str]) -> list[tuple[str, ...]]:
+    """Runs of three neighbouring skeletons; of a shorter title, the whole of it."""
+    return list(zip(line, line[1:], line[2:])) if len(line) > 2 else [tuple(line)] if line else []
+
+
+def least(n: int, share: float) -> int:
+    """How many of ``n`` make up the share."""
+    return max(1, math.ceil(share * n - 1e-9))
+
+
+def _run_hashes(peer: np.ndarray, *line: np.ndarray) -> np.ndarray:
+    """Keys of runs of one to three words."""
+    key = _mix(peer, line[0], np.full(len(peer), len(line), np.uint64))
+    for h in line[1:]:
+        key = _mix(h, key.view(np.uint64), np.full(len(peer), 13, np.uint64))
+    return key
+
+
 def _paper_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per distinct word (``kind`` 0) and run (its number of words) of a title, of which ``needed`` must be in a reference."""
     cache: dict[str, int] = {}
     for batch in batches:
-        urns, keys, first = [], [], []
-        for peer, urn, title, surnames in zip(*(batch.column(c).to_pylist() for c in ("peer", "urn", "title", "surnames"))):
-            own = set(_title_keys(peer, title, cache).tolist())
-            urns.extend([urn] * len(own))
-            keys.extend(own)
-            # surnames printed in pieces count by their last piece
-            first.extend([_cached(tokens(surnames[0])[-1], cache) if surnames and tokens(surnames[0]) else None] * len(own))
-        yield pa.record_batch({"urn": pa.array(urns, pa.string()), "index_key": pa.array(keys, pa.int64()), "first_author": pa.array(first, pa.int64())})
+        urns = batch.column("urn")
+        # by kind: paper, peer, how many are needed, the hashes of one to three words
+        rows: dict[int, list[tuple]] = {0: [], 1: [], 2: [], 3: []}
+        for i, (peer, title) in enumerate(zip(batch.column("peer").to_pylist(), batch.column("title").to_pylist())):
+            words = tokens(title)
+            line = [skeleton(w) for w in words]
+            h = dict(zip(line, (_cached(w, cache) for w in words)))
+            own = _hash(peer)
+            alone, following = set(telling(line)), set(runs(line))
+            rows[0] += [(i, own, least(len(alone), HELD), h[x]) for x in sorted(alone)]
+            for run in sorted(following):
+                rows[len(run)].append((i, own, least(len(following), RUNS), *(h[x] for x in run)))
+        for kind, found in rows.items():
+            if found:
+                i, peer, needed, *line = (np.array(c, np.uint64) for c in zip(*found))
+                key = _run_hashes(peer, *line) if kind else _word_key(peer, line[0])
+                yield pa.record_batch({"urn": urns.take(pa.array(i.astype(np.int64))), "kind": pa.array(np.full(len(i), kind, np.int32)), "index_key": pa.array(key), "needed": pa.array(needed.astype(np.int32))})
 
 
-def _run_keys(pair: np.ndarray, third: np.ndarray) -> np.ndarray:
-    """Keys of three neighbouring words, from those of the first two and the third."""
-    return _mix(third, pair.view(np.uint64), np.full(len(pair), 13, np.uint64))
+def _word_key(peer: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return _mix(peer, word, np.full(len(peer), 5, np.uint64))
 
 
-def _paper_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache: dict[str, int] = {}
-    for batch in batches:
-        urns, keys = [], []
-        for peer, urn, title in zip(*(batch.column(c).to_pylist() for c in ("peer", "urn", "title"))):
-            own = _title_keys(peer, title, cache)
-            h = np.array([_cached(t, cache) for t in tokens(title)], np.uint64)
-            own = set((_run_keys(own[:-1], h[2:]) if len(h) > 2 else own).tolist())
-            urns.extend([urn] * len(own))
-            keys.extend(own)
-        yield pa.record_batch({"urn": pa.array(urns, pa.string()), "index_key": pa.array(keys, pa.int64())})
+def _author_key(peer: np.ndarray, author: np.ndarray) -> np.ndarray:
+    return _mix(peer, author, np.full(len(peer), 7, np.uint64))
 
 
 def _with_author(key: np.ndarray, author: np.ndarray) -> np.ndarray:
-    """A title key and a first author in one key."""
-    return _mix(author.astype(np.uint64), key.view(np.uint64), np.full(len(key), 11, np.uint64))
+    """A word's key and an author in one key."""
+    return _mix(author, key.view(np.uint64), np.full(len(key), 11, np.uint64))
+
+
+def _author_hashes(surnames: list[str] | None, cache: dict[str, int]) -> list[int]:
+    """Surnames printed in pieces count by their last piece."""
+    return sorted({_cached(words[-1], cache) for s in surnames or () if (words := tokens(s))})
 
 
-def _author_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _authors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per paper and author, with the key that tells an author's name in a reference of the peer."""
+    cache: dict[str, int] = {}
     for batch in batches:
-        key = _with_author(batch.column("index_key").to_numpy(), batch.column("first_author").to_numpy())
+        rows = [(u, _hash(p), a) for p, u, surnames in zip(*(batch.column(c).to_pylist() for c in ("peer", "urn", "surnames"))) for a in _author_hashes(surnames, cache)]
+        peer, author = (np.array([r[i] for r in rows], np.uint64) for i in (1, 2))
+        yield pa.record_batch({"urn": pa.array([r[0] for r in rows], pa.string()), "author": pa.array(author.view(np.int64)), "author_key": pa.array(_author_key(peer, author))})
+
+
+def _joint_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        key = _with_author(batch.column("index_key").to_numpy(), batch.column("author").to_numpy().view(np.uint64))
         yield pa.record_batch({"urn": batch.column("urn"), "index_key": pa.array(key)})
 
 
-def _reference_keys(bits: np.ndarray):
-    """Keys that pass the filter: of all neighbouring words of a reference, of these together with each of its first long words, one of which is the first author's surname, and of all runs of three words."""
+class KeyFilter:
+    """Bits of the keys that are indexed, two a key; a few keys that are not pass too."""
+
+    def __init__(self, bits: np.ndarray) -> None:
+        self.bits, self.wide = bits, int(len(bits) * 8).bit_length() - 1
+
+    @staticmethod
+    def places(wide: int) -> tuple[int, int]:
+        """How far a key is shifted for each of its two bits."""
+        return 64 - wide, 31 - wide // 2
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        """The places of the keys that pass."""
+        passed = np.arange(len(key))
+        for shift in self.places(self.wide):
+            at = (key[passed].view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << self.wide) - 1)
+            passed = passed[(self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0]
+        return passed
+
+
+def _reference_keys(known: KeyFilter):
+    """Keys of a reference that may be indexed: of every word that may be of a title together with every word that may be an author's name, and of all runs of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict[str, int] = {}
@@ -131,29 +182,36 @@ def _reference_keys(bits: np.ndarray):
             peers, refs, raws, titles = (batch.column(c).to_pylist() for c in ("peer", "ref", "raw", "title"))
             words: list[int] = []
             length: list[int] = []
-            early: list[list] = []
             for raw, title in zip(raws, titles):
                 found = tokens(raw if raw else title)
                 words.extend([_cached(t, cache) for t in found])
                 length.append(len(found))
-                early.append([_cached(t, cache) for t in [t for t in found[:9] if len(t) > 2][:3]])
             h = np.asarray(words, np.uint64)
             owner = np.repeat(np.arange(len(refs)), length)
-            peer = np.asarray([_hash(p) for p in peers], np.uint64)[owner]
-            inner = np.flatnonzero(owner[1:] == owner[:-1]) if len(owner) else owner
-            key = np.concatenate([_mix(peer[inner], h[inner], h[inner + 1]), _mix(peer, h, h)])
-            own = np.concatenate([owner[inner], owner])
-            authors = np.zeros((len(refs), 3), np.uint64)
-            for i, e in enumerate(early):
-                authors[i, : len(e)] = e
-            third = np.flatnonzero(owner[2:] == owner[:-2]) if len(owner) > 2 else inner[:0]
-            runs = _run_keys(_mix(peer[third], h[third], h[third + 1]), h[third + 2])
-            key = np.concatenate([key, *(_with_author(key, authors[own, i]) for i in range(3)), runs])
-            own = np.concatenate([np.tile(own, 4), owner[third]])
-            for shift in PLACES:
-                at = (key.view(np.uint64) >> np.uint64(shift)) & np.uint64((1 << FILTER_BITS) - 1)
-                kept = (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                key, own = key[kept], own[kept]
+            of_peer = np.asarray([_hash(p) for p in peers], np.uint64)
+            keys, owners = [], []
+            for n in (1, 2, 3):
+                at = np.flatnonzero(owner[n - 1 :] == owner[: len(owner) - n + 1]) if len(owner) >= n else np.zeros(0, np.int64)
+                keys.append(_run_hashes(of_peer[owner[at]], *(h[at + i] for i in range(n))))
+                owners.append(owner[at])
+            # every word once a reference
+            order = np.lexsort((h, owner))
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (h[order][1:] != h[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+            h, owner = h[order][fresh], owner[order][fresh]
+            word = _word_key(of_peer[owner], h)
+            title_at, author_at = known(word), known(_author_key(of_peer[owner], h))
+            held = np.bincount(owner[title_at], minlength=len(refs))
+            begin = np.concatenate([[0], np.cumsum(held)[:-1]]) if len(held) else held
+            times = held[owner[author_at]]
+            author = np.repeat(author_at, times)
+            inner = np.arange(len(author)) - np.repeat(np.cumsum(times) - times, times)
+            title = title_at[begin[owner[author]] + inner]
+            keys.append(_with_author(word[title], h[author]))
+            owners.append(owner[author])
+            key, own = np.concatenate(keys), np.concatenate(owners)
+            passed = known(key)
+            key, own = key[passed], own[passed]
             order = np.lexsort((key, own))
             key, own = key[order], own[order]
             once = np.ones(len(key), bool)
@@ -163,14 +221,15 @@ def _reference_keys(bits: np.ndarray):
     return run
 
 
-def _key_filter(index: DataFrame) -> np.ndarray:
-    """Two bits per key of the index; at most 2**20 rows reach the driver, as Arrow columns."""
-    places = F.array(*(F.shiftrightunsigned("index_key", shift).bitwiseAND(F.lit((1 << FILTER_BITS) - 1)) for shift in PLACES))
-    one = index.select(F.explode(places).alias("place"))
+def key_filter(keys: DataFrame, n_keys: int) -> KeyFilter:
+    """BITS_A_KEY bits a key, at most 2 ** MOST_BITS; packed words of bits reach the driver as Arrow columns."""
+    wide = min(MOST_BITS, max(16, (BITS_A_KEY * max(1, n_keys) - 1).bit_length()))
+    places = F.array(*(F.shiftrightunsigned("index_key", shift).bitwiseAND(F.lit((1 << wide) - 1)) for shift in KeyFilter.places(wide)))
+    one = keys.select(F.explode(places).alias("place"))
     words = one.select(F.shiftright("place", 6).alias("at"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    out = np.zeros(1 << (wide - 6), np.int64)
     out[words.column("at").to_numpy()] = words.column("bits").to_numpy()
-    return out.view(np.uint8)
+    return KeyFilter(out.view(np.uint8))
 
 
 def _found(token: str, among: set[str], skeletons: set[str], by_letter: dict[str, list[str]]) -> float:
@@ -196,10 +255,6 @@ def printed_title(raw: str | None) -> str | None:
     return next((m.group(1) for pattern in TITLES if (m := pattern.search(raw or ""))), None)
 
 
-def _sequels(text: str) -> set:
-    return {m.group(0).replace(" ", "") for m in SEQUEL.finditer(text)}
-
-
 @lru_cache(maxsize=20_000)
 def _read(text: str | None) -> tuple[str, list[str], list[str], set[str], set[str], dict[str, list[str]]]:
     """A text plain, its words in order, their skeletons in order, both as sets, and words by first letter."""
@@ -212,6 +267,28 @@ def _read(text: str | None) -> tuple[str, list[str], list[str], set[str], set[st
     return text, words, line, set(words), set(line), by_letter
 
 
+@lru_cache(maxsize=4)
+def _printed(raw: str | None, title: str | None) -> list[list[str]]:
+    """Readings of a reference's title, as words: the labelled field, and what the printed style shows."""
+    return [words for t in (title, printed_title(raw)) if len(words := tokens(t)) > 1]
+
+
+def held(text: str | None, title: str | None, surnames: list[str]) -> bool:
+    """The definition of a candidate: enough of a title's words beside an author, or enough of its runs, by skeletons."""
+    line, bones = _read(text)[2], _read(title)[2]
+    among, alone = _read(text)[4], set(telling(bones))
+    if len(alone & among) >= least(len(alone), HELD) and any(words and skeleton(words[-1]) in among for words in map(_surname, surnames)):
+        return True
+    following = set(runs(bones))
+    n = min(3, len(bones))
+    return len(following & set(zip(*(line[i:] for i in range(n))))) >= least(len(following), RUNS) if following else False
+
+
+@lru_cache(maxsize=100_000)
+def _surname(surname: str) -> list[str]:
+    return tokens(surname)
+
+
 def votes(raw: str | None, title: str | None, known_urn: str | None, pub_date: str | None, urn: str, paper_title: str | None, surnames: list[str], url: str | None) -> list[int]:
     """One vote in (-1, 0, 1) per function, in the order of FUNCTIONS."""
     text, words, line, among, skeletons, by_letter = _read(raw if raw else title)
@@ -221,16 +298,6 @@ def votes(raw: str | None, title: str | None, known_urn: str | None, pub_date: s
     contained = sum(f * _weight(t) for f, t in zip(found, own)) / whole
     v = {"title_in_raw": 1 if own and contained >= 0.86 else -1 if contained < 0.6 else 0}
 
-    field = tokens(title)
-    if len(field) < 2:
-        field = tokens(printed_title(raw))
-    if len(field) < 2 or not own:
-        v["title_field"] = 0
-    else:
-        back = sum(_found(t, mine, own_skeletons, letters) * _weight(t) for t in field) / sum(map(_weight, field))
-        both = min(back, contained)
-        v["title_field"] = 1 if back >= 0.86 and contained >= 0.4 else -1 if both < 0.45 else 0
-
     # the longest run of title words that follow each other in the reference
     places: dict[str, list[int]] = {}
     for i, b in enumerate(line):
@@ -242,8 +309,19 @@ def votes(raw: str | None, title: str | None, known_urn: str | None, pub_date: s
         before = now
     v["title_run"] = 1 if best >= 0.55 * whole else -1 if best < 0.3 * whole else 0
 
+    # words that only one of the two titles has, in the reading of the reference that leaves fewest: a slip leaves one on either side
+    missing = [t for t, f in zip(own, found) if not f]
+    extra = [[t for t in reading if not _found(t, mine, own_skeletons, letters)] for reading in _printed(raw, title)]
+    over = min(extra, key=len) if extra else []
+    if not extra or not own:
+        v["title_same"] = 0
+    elif len(over) != len(missing) or any(NUMERAL.match(t) for t in over + missing):
+        v["title_same"] = -1
+    else:
+        v["title_same"] = 0 if over else 1
+
     if surnames:
-        present = [s for s in surnames if all(_found(t, among, skeletons, by_letter) > 0.85 for t in tokens(s)) and s]
+        present = [s for s in surnames if s and all(_found(t, among, skeletons, by_letter) > 0.85 for t in _surname(s))]
         v["first_author"] = 1 if surnames[0] in present else -1
         expected = 1 if re.search(r"\bet al\b", text) else len(surnames)
         v["authors"] = 1 if len(present) >= max(1, 0.6 * expected) else -1 if not present else 0
@@ -251,10 +329,8 @@ def votes(raw: str | None, title: str | None, known_urn: str | None, pub_date: s
         v["first_author"] = v["authors"] = 0
 
     year = YEAR.search(url or "")
-    printed = {y for y in YEAR.findall(f"{pub_date or ''} {text[-60:]} {text[:400]}")}
+    printed = set(YEAR.findall(f"{pub_date or ''} {text}"))
     v["year"] = 0 if not year or not printed else 1 if year.group(1) in printed else -1
-    a, b = _sequels(own_text), _sequels(text)
-    v["sequel"] = 1 if a and a == b else -1 if b - a or (a - b and contained >= 0.6) else 0
     v["known"] = 1 if known_urn is not None and known_urn == urn else 0
     return [v[f] for f in FUNCTIONS]
 
@@ -262,20 +338,28 @@ def votes(raw: str | None, title: str | None, known_urn: str | None, pub_date: s
 def _vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("raw", "title", "cited_urn", "pub_date", "urn", "paper_title", "surnames", "resource_url")
     for batch in batches:
-        rows = zip(*(batch.column(n).to_pylist() for n in names))
-        codes = []
-        for row in rows:
+        kept, codes = [], []
+        for i, row in enumerate(zip(*(batch.column(n).to_pylist() for n in names))):
+            raw, title, *_, paper_title, surnames, url = row
+            if not held(raw if raw else title, paper_title, surnames or []):
+                continue
             code = 0
-            for x in votes(*row[:6], row[6] or [], row[7]):
+            for x in votes(*row[:6], surnames or [], url):
                 code = code * 3 + x + 1
+            kept.append(i)
             codes.append(code)
-        yield pa.RecordBatch.from_arrays([batch.column("ref"), batch.column("urn"), pa.array(codes, pa.int32())], names=["ref", "urn", "pattern"])
+        taken = pa.array(kept, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column("ref").take(taken), batch.column("urn").take(taken), pa.array(codes, pa.int32())], names=["ref", "urn", "pattern"])
+
+
+#: What the votes of a function weigh at the start of the fit.
+START = {"title_same": 3.0}
 
 
-def fit_label_model(patterns: dict[int, int], rounds: int = 50, smooth: float = 1.0, prior: float = 0.3) -> dict[int, float]:
+def fit_label_model(patterns: dict[int, int], rounds: int = 50, smooth: float = 1.0) -> dict[int, float]:
     """Posterior of a match for each vote pattern, from the patterns' counts.
 
-    P(pattern | class) is a product over the groups of functions, with a free distribution over the joint votes of a group. The start is a sigmoid of the sum of votes.
+    P(pattern | class) is a product over the groups of functions, with a free distribution over the joint votes of a group. The start is a sigmoid of the weighted sum of votes.
     """
     if not patterns:
         return {}
@@ -286,7 +370,7 @@ def fit_label_model(patterns: dict[int, int], rounds: int = 50, smooth: float =
     for g in GROUPS:
         blocks.append(sum(digits[:, at + i] * 3**i for i in range(len(g))))
         at += len(g)
-    q = 1 / (1 + np.exp(-1.5 * (digits - 1).sum(axis=1) + 2.0))
+    q = 1 / (1 + np.exp(-1.5 * (digits - 1) @ np.array([START.get(f, 1.0) for f in FUNCTIONS]) + 2.0))
     for _ in range(rounds):
         share = (n * q).sum() / n.sum()
         share = min(max(share, 1e-4), 1 - 1e-4)
@@ -299,35 +383,32 @@ def fit_label_model(patterns: dict[int, int], rounds: int = 50, smooth: float =
     return dict(zip(codes.tolist(), q.tolist()))
 
 
-def index_papers(papers: DataFrame, few: int = 30, rarest: int = 3, telling: int = 3) -> DataFrame:
-    """(urn, index_key, enough): a paper's title keys that at most ``few`` papers of its peer share, at least its ``rarest`` ones, each together with the
-    first author; and by themselves those that at most ``telling`` papers share, so that a frequent title is never met without its author by these; and all its
-    runs of three title words, whose number of papers has no bound. ``enough``: the key makes a candidate by itself."""
-    keys = papers.mapInArrow(_paper_keys, "urn string, index_key bigint, first_author bigint")
+def index_papers(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(urn, index_key) and the keys that references are read by. Of the ``n`` words or runs of a title of which ``needed`` must be in a reference, the
+    n - needed + 1 that fewest papers of the peer share are indexed, words with each author."""
+    keys = papers.select("peer", "urn", "title").mapInArrow(_paper_keys, "urn string, kind int, index_key bigint, needed int")
     sizes = keys.groupBy("index_key").agg(F.count("*").alias("size"))
-    rank = F.row_number().over(Window.partitionBy("urn").orderBy("size", "index_key"))
-    kept = cut_lineage(keys.join(sizes, "index_key").withColumn("rank", rank).where((F.col("size") <= few) | (F.col("rank") <= rarest)))
-    with_author = kept.where("first_author is not null").select("urn", "index_key", "first_author").mapInArrow(_author_keys, "urn string, index_key bigint")
-    alone = kept.where(F.col("size") <= telling).select("urn", "index_key", F.lit(False).alias("enough"))
-    runs = papers.select("peer", "urn", "title").mapInArrow(_paper_runs, "urn string, index_key bigint")
-    return with_author.unionByName(runs).withColumn("enough", F.lit(True)).unionByName(alone)
-
-
-def candidates(references: DataFrame, index: DataFrame) -> DataFrame:
-    """(ref, urn) of references and papers of a peer that share a title key and the first author, two very rare title keys, or three neighbouring title words."""
-    probes = references.select("peer", "ref", "raw", "title").mapInArrow(_reference_keys(_key_filter(index)), "ref bigint, index_key bigint")
-    shared = probes.join(index, "index_key")
-    return shared.groupBy("ref", "urn").agg(F.count("*").alias("n"), F.max("enough").alias("enough")).where("enough or n > 1").select("ref", "urn")
+    own = Window.partitionBy("urn", F.col("kind") > 0)
+    placed = keys.join(sizes, "index_key").withColumns({"rank": F.row_number().over(own.orderBy("size", "index_key")), "n": F.count("*").over(own)})
+    prefix = cut_lineage(placed.where(F.col("rank") <= F.col("n") - F.col("needed") + 1).select("urn", "kind", "index_key"))
+    authors = cut_lineage(papers.select("peer", "urn", "surnames").mapInArrow(_authors_of, "urn string, author bigint, author_key bigint"))
+    words = prefix.where("kind = 0")
+    joint = words.join(authors, "urn").select("urn", "index_key", "author").mapInArrow(_joint_keys, "urn string, index_key bigint")
+    index = cut_lineage(joint.union(prefix.where("kind > 0").select("urn", "index_key")))
+    read_by = index.select("index_key").union(words.select("index_key")).union(authors.select("author_key")).distinct()
+    return index, read_by
 
 
-def _digit(function: str) -> Column:
-    """A function's vote in a pattern, from 0 for against to 2 for."""
-    return F.floor(F.col("pattern") / 3 ** (len(FUNCTIONS) - 1 - FUNCTIONS.index(function))) % 3
+def candidates(references: DataFrame, index: DataFrame, read_by: DataFrame) -> DataFrame:
+    """(ref, urn) of references and papers of a peer that share an indexed key; every pair that ``held`` is true of is among them."""
+    read_by = cut_lineage(read_by)
+    known = key_filter(read_by, read_by.count())
+    probes = references.select("peer", "ref", "raw", "title").mapInArrow(_reference_keys(known), "ref bigint, index_key bigint")
+    return probes.join(index, "index_key").select("ref", "urn").distinct()
 
 
 def link(references: DataFrame, papers: DataFrame, authors: DataFrame) -> DataFrame:
-    """(citing_urn, ref_pos, cited_urn, confidence) of every candidate, each once. An exact check follows the model: a part, an extended version and
-    the like is not the work without that mark, whatever else agrees.
+    """(citing_urn, ref_pos, cited_urn, confidence) of every candidate, each once.
 
     ``references``: peer, citing_urn, ref_pos, raw, title, pub_date, cited_urn; ``papers``: peer, urn, title, resource_url; ``authors``: urn, author_pos,
     author_name. Repeated rows count once; rows with a null key or peer are ignored; all other columns may be null, a reference
@@ -339,9 +420,9 @@ def link(references: DataFrame, papers: DataFrame, authors: DataFrame) -> DataFr
     lists = names.groupBy("urn").agg(F.transform(F.sort_array(F.collect_list(F.struct("author_pos", "surname"))), lambda x: x["surname"]).alias("surnames"))
     known = papers.where("urn is not null and peer is not null").select("peer", "urn", "title", "resource_url").dropDuplicates(["urn"])
     described = cut_lineage(known.join(lists, "urn", "left"))
-    index = cut_lineage(index_papers(described))
+    index, read_by = index_papers(described)
     numbered = references.where("citing_urn is not null and ref_pos is not null and peer is not null").withColumn("ref", F.xxhash64("citing_urn", "ref_pos"))
-    found = cut_lineage(candidates(numbered, index))
+    found = cut_lineage(candidates(numbered, index, read_by))
     payload = described.select("urn", F.col("title").alias("paper_title"), "surnames", "resource_url")
     printed = numbered.select("ref", "citing_urn", "ref_pos", "raw", "title", "pub_date", "cited_urn").join(found.select("ref").distinct(), "ref", "left_semi").dropDuplicates(["ref"])
     compared = found.join(payload, "urn").join(printed, "ref")
@@ -351,5 +432,5 @@ def link(references: DataFrame, papers: DataFrame, authors: DataFrame) -> DataFr
     spark = references.sparkSession
     table = spark.createDataFrame(sorted(posterior.items()), "pattern int, confidence double")
     # no more patterns than three to the number of functions
-    scored = voted.join(F.broadcast(table), "pattern").withColumn("confidence", F.when(_digit("sequel") == 0, F.least("confidence", F.lit(0.49))).otherwise(F.col("confidence")))
+    scored = voted.join(F.broadcast(table), "pattern")
     return scored.join(printed.select("ref", "citing_urn", "ref_pos"), "ref").select("citing_urn", "ref_pos", F.col("urn").alias("cited_urn"), "confidence")
