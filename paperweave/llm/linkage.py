@@ -2,8 +2,8 @@
 
 Candidates. Titles and printed references are reduced to consonant skeletons, which wrong decodings, missing accents and many slips leave
 as they are. A reference and a paper of its peer are a candidate if the reference holds the surname of any author and at least HELD of the title's words, or
-at least RUNS of the title's runs of three words, wherever they stand. All such pairs are found, by prefixes: of n title words of which m must be there, one of
-the n - m + 1 rarest must be, so a paper is indexed under these only, and no key needs a cap.
+at least RUNS of the title's runs of three words, wherever they stand. All such pairs are found, by prefixes: of n title words of which m must be there, two of
+the n - m + 2 rarest must be (one of the n - m + 1 rarest, if m is one), so a paper is indexed under these only, and no key needs a cap.
 
 Confidence. Several heuristic functions vote for, against or not at all on each candidate. A generative model with the
 hidden class, fitted by expectation maximisation on the counts of vote patterns, learns how often each function is right and how the
@@ -38,6 +38,8 @@ GROUPS = (("title_in_raw", "title_run", "title_same"), ("first_author", "authors
 FUNCTIONS = [f for g in GROUPS for f in g]
 #: Shares of a title's words (beside an author) and of its runs of three words that make a candidate.
 HELD, RUNS = 0.4, 0.6
+#: How many indexed keys of a kind a candidate shares, if so many are needed at all.
+SHARED = 2
 #: Filter bits per indexed key, and the most there are of them (128 MB): a fuller filter only lets more keys through to the join.
 BITS_A_KEY, MOST_BITS = 12, 30
 
@@ -150,7 +152,7 @@ def _authors_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _joint_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         key = _with_author(batch.column("index_key").to_numpy(), batch.column("author").to_numpy().view(np.uint64))
-        yield pa.record_batch({"urn": batch.column("urn"), "index_key": pa.array(key)})
+        yield pa.record_batch({"urn": batch.column("urn"), "index_key": pa.array(key), "kind": pa.array(np.zeros(len(key), np.int32)), "shared": batch.column("shared")})
 
 
 class KeyFilter:
@@ -293,7 +295,7 @@ def votes(raw: str | None, title: str | None, known_urn: str | None, pub_date: s
     """One vote in (-1, 0, 1) per function, in the order of FUNCTIONS."""
     text, words, line, among, skeletons, by_letter = _read(raw if raw else title)
     own_text, own, bones, mine, own_skeletons, letters = _read(paper_title)
-    found = [_found(t, among, skeletons, by_letter) for t in own]
+    found = [1.0 if t in among else _found(t, among, skeletons, by_letter) for t in own]
     whole = sum(map(_weight, own)) or 1.0
     contained = sum(f * _weight(t) for f, t in zip(found, own)) / whole
     v = {"title_in_raw": 1 if own and contained >= 0.86 else -1 if contained < 0.6 else 0}
@@ -311,7 +313,7 @@ def votes(raw: str | None, title: str | None, known_urn: str | None, pub_date: s
 
     # words that only one of the two titles has, in the reading of the reference that leaves fewest: a slip leaves one on either side
     missing = [t for t, f in zip(own, found) if not f]
-    extra = [[t for t in reading if not _found(t, mine, own_skeletons, letters)] for reading in _printed(raw, title)]
+    extra = [[t for t in reading if t not in mine and not _found(t, mine, own_skeletons, letters)] for reading in _printed(raw, title)]
     over = min(extra, key=len) if extra else []
     if not extra or not own:
         v["title_same"] = 0
@@ -321,9 +323,9 @@ def votes(raw: str | None, title: str | None, known_urn: str | None, pub_date: s
         v["title_same"] = 0 if over else 1
 
     if surnames:
-        present = [s for s in surnames if s and all(_found(t, among, skeletons, by_letter) > 0.85 for t in _surname(s))]
+        present = [s for s in surnames if s and all(t in among or _found(t, among, skeletons, by_letter) > 0.85 for t in _surname(s))]
         v["first_author"] = 1 if surnames[0] in present else -1
-        expected = 1 if re.search(r"\bet al\b", text) else len(surnames)
+        expected = 1 if "et" in among and "al" in among else len(surnames)
         v["authors"] = 1 if len(present) >= max(1, 0.6 * expected) else -1 if not present else 0
     else:
         v["first_author"] = v["authors"] = 0
@@ -384,27 +386,30 @@ def fit_label_model(patterns: dict[int, int], rounds: int = 50, smooth: float =
 
 
 def index_papers(papers: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(urn, index_key) and the keys that references are read by. Of the ``n`` words or runs of a title of which ``needed`` must be in a reference, the
-    n - needed + 1 that fewest papers of the peer share are indexed, words with each author."""
+    """(urn, index_key, kind, shared) and the keys that references are read by. Of the ``n`` words or runs of a title of which ``needed`` must be in a reference, the
+    n - needed + shared that fewest papers of the peer share are indexed, words with each author; ``shared`` of these must be in the reference."""
     keys = papers.select("peer", "urn", "title").mapInArrow(_paper_keys, "urn string, kind int, index_key bigint, needed int")
     sizes = keys.groupBy("index_key").agg(F.count("*").alias("size"))
     own = Window.partitionBy("urn", F.col("kind") > 0)
-    placed = keys.join(sizes, "index_key").withColumns({"rank": F.row_number().over(own.orderBy("size", "index_key")), "n": F.count("*").over(own)})
-    prefix = cut_lineage(placed.where(F.col("rank") <= F.col("n") - F.col("needed") + 1).select("urn", "kind", "index_key"))
+    placed = keys.join(sizes, "index_key").withColumns({"rank": F.row_number().over(own.orderBy("size", "index_key")), "n": F.count("*").over(own), "shared": F.least("needed", F.lit(SHARED))})
+    first = placed.where(F.col("rank") <= F.col("n") - F.col("needed") + F.col("shared"))
+    prefix = cut_lineage(first.select("urn", (F.col("kind") > 0).cast("int").alias("kind"), "index_key", "shared"))
     authors = cut_lineage(papers.select("peer", "urn", "surnames").mapInArrow(_authors_of, "urn string, author bigint, author_key bigint"))
     words = prefix.where("kind = 0")
-    joint = words.join(authors, "urn").select("urn", "index_key", "author").mapInArrow(_joint_keys, "urn string, index_key bigint")
-    index = cut_lineage(joint.union(prefix.where("kind > 0").select("urn", "index_key")))
+    joint = words.join(authors, "urn").select("urn", "index_key", "author", "shared").mapInArrow(_joint_keys, "urn string, index_key bigint, kind int, shared int")
+    index = cut_lineage(joint.union(prefix.where("kind = 1").select("urn", "index_key", "kind", "shared")))
     read_by = index.select("index_key").union(words.select("index_key")).union(authors.select("author_key")).distinct()
     return index, read_by
 
 
 def candidates(references: DataFrame, index: DataFrame, read_by: DataFrame) -> DataFrame:
-    """(ref, urn) of references and papers of a peer that share an indexed key; every pair that ``held`` is true of is among them."""
+    """(ref, urn) of references and papers of a peer that share enough indexed keys of a kind; every pair that ``held`` is true of is among them."""
     read_by = cut_lineage(read_by)
     known = key_filter(read_by, read_by.count())
     probes = references.select("peer", "ref", "raw", "title").mapInArrow(_reference_keys(known), "ref bigint, index_key bigint")
-    return probes.join(index, "index_key").select("ref", "urn").distinct()
+    of = lambda kind: F.count_if(F.col("kind") == kind) >= F.max(F.when(F.col("kind") == kind, F.col("shared")))
+    enough = F.coalesce(of(0), F.lit(False)) | F.coalesce(of(1), F.lit(False))
+    return probes.join(index, "index_key").groupBy("ref", "urn").agg(enough.alias("enough")).where("enough").select("ref", "urn")
 
 
 def link(references: DataFrame, papers: DataFrame, authors: DataFrame) -> DataFrame:
