@@ -194,9 +194,10 @@ def _odd_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def garbled_words(words: DataFrame, rarer_by: float = 3.0) -> DataFrame:
     """(word, original, chain) for every garbled word of ``words`` (key, field, word); original is null where
     characters were lost and no clean word tells which."""
-    # distinct words are few bytes but long work: spread by number, as adaptive execution would put them into one task by their size
+    # distinct words are few bytes but long work: spread by number, as adaptive execution would put them into one task by their size,
+    # and by a hash, as the planner drops a repartition by what the aggregate is partitioned by already
     tasks = int(words.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counts = words.groupBy("word").agg(F.count("*").alias("n")).repartition(tasks, "word")
+    counts = words.groupBy("word").agg(F.count("*").alias("n")).repartition(tasks, F.xxhash64("word"))
     judged = counts.mapInArrow(_odd_words, "word string, n bigint, strange boolean, lost boolean, by_characters string, by_chain string")
     forms = counts.mapInArrow(_forms, "form string, original string, chain string, clean_n bigint")
     best = forms.groupBy("form").agg(F.max_by(F.struct("original", "chain", "clean_n"), F.struct("clean_n", "chain", "original")).alias("best"))
