@@ -40,12 +40,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = term_counts.mark_terms(read_table(spark, sf_dir, "papers"), "urn", ["abstract", "body"], max_terms=2)
+    marked = term_counts.mark_terms(read_table(spark, sf_dir, "papers"), "urn", ["abstract", "body"])
     return marked.where((F.col("n_terms") == 1) & F.col("mark").isNotNull()).select(F.col("ngram").alias("term"), "mark")
 
 
 def p4_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return term_counts.mark_terms(read_table(spark, sf_dir, "papers"), "urn", ["abstract", "body"], max_terms=2).where("records >= 3")
+    return term_counts.mark_terms(read_table(spark, sf_dir, "papers"), "urn", ["abstract", "body"])
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,11 +143,12 @@ SQL = {
         SELECT term, CASE WHEN records < 3 THEN 'rare' ELSE 'common' END AS mark FROM held, n WHERE records < 3 OR records * 3 > n""",
     "p4_ngrams": f"""WITH once AS ({_ONCE}), texts AS (SELECT urn, {_terms("abstract")} AS w FROM once UNION ALL SELECT urn, {_terms("body")} FROM once),
         terms AS (SELECT urn, unnest(w) AS term, 1 AS n_terms FROM texts UNION ALL
-            SELECT urn, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 FROM texts),
+            SELECT urn, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])), 2 FROM texts UNION ALL
+            SELECT urn, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])), 3 FROM texts),
         n AS (SELECT count(*) AS n FROM once)
         SELECT term AS ngram, CAST(n_terms AS INTEGER) AS n_terms, count(*) AS occurrences, count(DISTINCT urn) AS records,
             CASE WHEN count(DISTINCT urn) < 3 THEN 'rare' WHEN count(DISTINCT urn) * 3 > any_value(n) THEN 'common' END AS mark
-        FROM terms, n GROUP BY term, n_terms HAVING count(DISTINCT urn) >= 3""",
+        FROM terms, n GROUP BY term, n_terms""",
     "p5_found": f"""WITH once AS ({_ONCE}), terms AS (SELECT urn, unnest({_terms("title", "abstract")}) AS term FROM once), {_HELD}
         SELECT urn, term FROM terms JOIN held USING (term) WHERE records BETWEEN 2 AND 8 GROUP BY urn, term HAVING count(*) >= 3""",
     "p5_scores": f"""WITH once AS ({_ONCE}), texts AS (SELECT urn, {_terms("title")} AS w FROM once UNION ALL SELECT urn, {_terms("abstract")} FROM once),

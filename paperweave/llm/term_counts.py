@@ -14,109 +14,108 @@ shuffle, and their sum is the size of the record set, whatever share of the reco
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperweave.llm.words import terms_of
 from paperweave.plans.runtime import distinct_by
 
-#: Distinct suffixes that a task holds before it passes them on.
-FLUSH_AT = 400_000
+#: Terms and distinct terms that a task takes together before it passes their suffixes on.
+FLUSH_AT, MOST_TERMS = 2_000_000, 1_000_000
+
+
+class _Numbers(dict):
+    """Term to number, in the order of first use; 0 stands for no term."""
+
+    def __missing__(self, term: str) -> int:
+        self[term] = number = len(self) + 1
+        return number
 
 
 def _suffixes(max_terms: int, spread: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
-        marks = [Counter() for _ in range(max_terms)]
-
-        def flush() -> pa.RecordBatch:
-            keys = list(total)
-            out = pa.record_batch(
-                {
-                    "head": pa.array([k[0] for k in keys], pa.string()),
-                    "branch": pa.array([zlib.crc32(k[1].encode()) % spread if max_terms > 1 else 0 for k in keys], pa.int32()),
-                    "suffix": pa.array([" ".join(filter(None, k)) for k in keys], pa.string()),
-                    "occurrences": pa.array(list(total.values()), pa.int64()),
-                    "marks": pa.array([[m.get(k, 0) for m in marks] for k in keys], pa.list_(pa.int32())),
-                }
-            )
-            total.clear()
-            for m in marks:
-                m.clear()
-            return out
+    def made(numbers: _Numbers, flat: list[int], lengths: list[int], owners: list[int]) -> pa.RecordBatch:
+        """Distinct suffixes of a chunk of texts, with their counts and marks; ``route`` is made of the first term and, in part, the second."""
+        term = np.asarray(flat, np.int64)
+        left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(term))
+        record = np.repeat(np.asarray(owners, np.int64), lengths)
+        # the suffix at every position, column by column, and its number among the suffixes of k terms
+        columns = [np.where(left > k, np.append(term[k:], np.zeros(min(k, len(term)), np.int64)), 0) for k in range(max_terms)]
+        place, marked = np.zeros(len(term), np.int64), []
+        for k in range(max_terms):
+            place = np.unique(place * (len(numbers) + 1) + columns[k], return_inverse=True)[1]
+            # the earliest position of a record counts, and an earlier field comes first
+            first = np.unique(record * (place.max() + 1) + place, return_index=True)[1]
+            marked.append(first[left[first] > k])
+        occurrences = np.bincount(place)
+        at = np.empty(len(occurrences), np.int64)
+        at[place] = np.arange(len(place))
+        marks = np.stack([np.bincount(place[m], minlength=len(occurrences)) for m in marked], axis=1)
+        words = pa.array(["", *numbers], pa.string())
+        parts = [words.take(pa.array(c[at])) for c in columns]
+        suffix = pc.utf8_rtrim_whitespace(pc.binary_join_element_wise(*parts, " "))
+        hashes = np.array([zlib.crc32(w.encode()) for w in ("", *numbers)], np.int64)
+        route = hashes[columns[0][at]] * spread + (hashes[columns[1][at]] % spread if max_terms > 1 else 0)
+        return pa.record_batch({"route": pa.array(route), "suffix": suffix, "occurrences": pa.array(occurrences), **{f"mark{k}": pa.array(marks[:, k].astype(np.int32)) for k in range(max_terms)}})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, flat, lengths, owners = _Numbers(), [], [], []
+        record = 0
         for batch in batches:
             for fields in zip(*(c.to_pylist() for c in batch.columns)):
-                firsts: list[dict] = [{} for _ in range(max_terms)]
+                record += 1
                 for field in fields:
-                    if not (own := terms_of(field)):
-                        continue
-                    cut = [own, *(own[i:] + [""] * min(i, len(own)) for i in range(1, max_terms))]
-                    total.update(suffixes := list(zip(*cut)))
-                    suffixes.reverse()
-                    for k in range(max_terms):
-                        heads = suffixes if k == max_terms - 1 else own[::-1] if k == 0 else [s[: k + 1] for s in suffixes]
-                        # the earliest position wins, and an earlier field wins over a later one
-                        firsts[k] = dict(zip(heads, suffixes)) | firsts[k]
-                for k in range(max_terms):
-                    marks[k].update(s for s in firsts[k].values() if s[k])
-                if len(total) > FLUSH_AT:
-                    yield flush()
-        if total:
-            yield flush()
+                    if own := terms_of(field):
+                        flat.extend(map(numbers.__getitem__, own))
+                        lengths.append(len(own))
+                        owners.append(record)
+                if len(flat) > FLUSH_AT or len(numbers) > MOST_TERMS:
+                    yield made(numbers, flat, lengths, owners)
+                    numbers, flat, lengths, owners, record = _Numbers(), [], [], [], 0
+        if flat:
+            yield made(numbers, flat, lengths, owners)
 
     return run
 
 
 def _add_prefixes(max_terms: int):
-    """One pass over suffixes in descending order: the stack holds the n-grams that are still open."""
+    """One pass over suffixes in descending order. An n-gram stays open on the stack as long as the suffixes begin with it; a level of the
+    stack is a run of rows, and the counts of a run are added up as it closes. What is open at a batch's end is closed there and goes on in the next."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms: list[str] = []
-        counts: list[list[int]] = []
-        out: tuple[list, list, list, list] = ([], [], [], [])
-
-        def close(down_to: int) -> None:
-            while len(terms) > down_to:
-                seen, records = counts.pop()
-                out[0].append(" ".join(terms))
-                out[1].append(len(terms))
-                out[2].append(seen)
-                out[3].append(records)
-                terms.pop()
-                if counts:
-                    counts[-1][0] += seen
-
-        def batch_out() -> pa.RecordBatch:
-            made = pa.record_batch(
-                {"ngram": pa.array(out[0], pa.string()), "n_terms": pa.array(out[1], pa.int32()), "occurrences": pa.array(out[2], pa.int64()), "records": pa.array(out[3], pa.int64())}
-            )
-            for column in out:
-                column.clear()
-            return made
-
         for batch in batches:
-            for suffix, seen, marks in zip(*(batch.column(c).to_pylist() for c in ("suffix", "occurrences", "marks"))):
-                own = suffix.split(" ")
-                same = 0
-                while same < len(own) and same < len(terms) and own[same] == terms[same]:
-                    same += 1
-                close(same)
-                for term in own[same:]:
-                    terms.append(term)
-                    counts.append([0, 0])
-                counts[len(own) - 1][0] += seen
-                for k in range(len(own)):
-                    counts[k][1] += marks[k]
-            if len(out[0]) > 50_000:
-                yield batch_out()
-        close(0)
-        if out[0]:
-            yield batch_out()
+            if not batch.num_rows:
+                continue
+            split = pc.split_pattern(batch.column("suffix"), " ")
+            begin = split.offsets.to_numpy()
+            length = np.diff(begin)
+            words = split.values.dictionary_encode()
+            code, vocabulary = words.indices.to_numpy(), words.dictionary
+            seen = batch.column("occurrences").to_numpy()
+            closed = np.ones(batch.num_rows, bool)
+            closed[1:] = False
+            parts: list[pa.Array] = []
+            for k in range(max_terms):
+                has = length > k
+                own = np.where(has, code[np.minimum(begin[:-1] + k, len(code) - 1)], -1)
+                closed[1:] |= own[1:] != own[:-1]
+                start = np.flatnonzero(closed)
+                kept = has[start]
+                parts = [vocabulary.take(pa.array(c[start[kept]])) for c in ([*columns, own] if k else [own])]
+                columns = [*columns, own] if k else [own]
+                ngram = pc.binary_join_element_wise(*parts, " ") if k else parts[0]
+                yield pa.record_batch(
+                    {
+                        "ngram": ngram,
+                        "n_terms": pa.array(np.full(int(kept.sum()), k + 1, np.int32)),
+                        "occurrences": pa.array(np.add.reduceat(np.where(has, seen, 0), start)[kept]),
+                        "records": pa.array(np.add.reduceat(np.where(has, batch.column(f"mark{k}").to_numpy(), 0).astype(np.int64), start)[kept]),
+                    }
+                )
 
     return run
 
@@ -132,8 +131,9 @@ def count_ngrams(records: DataFrame, key: str, texts: list[str], max_terms: int
     if max_terms < 1:
         raise ValueError("max_terms must be 1 or more")
     once = distinct_by(records.select(key, *texts), key).select(*texts)
-    suffixes = once.mapInArrow(_suffixes(max_terms, spread), "head string, branch int, suffix string, occurrences bigint, marks array<int>")
-    routed = suffixes.repartition("head", "branch").sortWithinPartitions(F.col("suffix").desc())
+    marks = "".join(f", mark{k} int" for k in range(max_terms))
+    suffixes = once.mapInArrow(_suffixes(max_terms, spread), f"route bigint, suffix string, occurrences bigint{marks}")
+    routed = suffixes.repartition("route").sortWithinPartitions(F.col("suffix").desc())
     open_ngrams = routed.mapInArrow(_add_prefixes(max_terms), "ngram string, n_terms int, occurrences bigint, records bigint")
     return open_ngrams.groupBy("ngram", "n_terms").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
 
