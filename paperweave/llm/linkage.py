@@ -17,6 +17,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from sys import intern
 
 import numpy as np
 import pyarrow as pa
@@ -234,18 +235,58 @@ def key_filter(keys: DataFrame, n_keys: int) -> KeyFilter:
     return KeyFilter(out.view(np.uint8))
 
 
-def _found(token: str, among: set[str], skeletons: set[str], by_letter: dict[str, list[str]]) -> float:
-    if token in among:
-        return 1.0
-    if len(token) > 3 and skeleton(token) in skeletons:
-        return 0.95
-    if len(token) > 3:
-        for other in by_letter.get(token[0], ()):
-            if len(other) > 2 and token.startswith(other) and len(other) >= len(token) / 3:
-                return 0.8
-            if abs(len(other) - len(token)) < 3 and len(other) > 3 and common_ratio(token, other) >= 0.8:
-                return 0.9
-    return 0.0
+class _Text:
+    """A text read once: plain, its words and their skeletons in order and as sets; what few candidates need is made when it is asked for."""
+
+    __slots__ = ("plain", "words", "line", "among", "skeletons", "_letters", "_telling", "_runs")
+
+    def __init__(self, text: str | None) -> None:
+        self.plain = plain(text)
+        self.words = list(map(intern, TOKEN.findall(self.plain)))
+        self.line = list(map(skeleton, self.words))
+        self.among, self.skeletons = set(self.words), set(self.line)
+        self._letters: dict[str, list[str]] | None = None
+        self._telling: set[str] | None = None
+        self._runs: dict[int, set] = {}
+
+    @property
+    def letters(self) -> dict[str, list[str]]:
+        """Words by first letter."""
+        if self._letters is None:
+            self._letters = {}
+            for w in self.among:
+                self._letters.setdefault(w[0], []).append(w)
+        return self._letters
+
+    @property
+    def telling(self) -> set[str]:
+        if self._telling is None:
+            self._telling = set(telling(self.line))
+        return self._telling
+
+    def runs(self, n: int) -> set:
+        if n not in self._runs:
+            self._runs[n] = set(zip(*(self.line[i:] for i in range(n))))
+        return self._runs[n]
+
+    def holds(self, token: str) -> float:
+        """How well a word is found in the text."""
+        if token in self.among:
+            return 1.0
+        if len(token) > 3:
+            if skeleton(token) in self.skeletons:
+                return 0.95
+            for other in self.letters.get(token[0], ()):
+                if len(other) > 2 and token.startswith(other) and len(other) >= len(token) / 3:
+                    return 0.8
+                if abs(len(other) - len(token)) < 3 and len(other) > 3 and common_ratio(token, other) >= 0.8:
+                    return 0.9
+        return 0.0
+
+
+# references come in order, papers in none
+_reference = lru_cache(maxsize=64)(_Text)
+_paper = lru_cache(maxsize=40_000)(_Text)
 
 
 def _weight(token: str) -> float:
@@ -257,18 +298,6 @@ def printed_title(raw: str | None) -> str | None:
     return next((m.group(1) for pattern in TITLES if (m := pattern.search(raw or ""))), None)
 
 
-@lru_cache(maxsize=20_000)
-def _read(text: str | None) -> tuple[str, list[str], list[str], set[str], set[str], dict[str, list[str]]]:
-    """A text plain, its words in order, their skeletons in order, both as sets, and words by first letter."""
-    text = plain(text)
-    words = TOKEN.findall(text)
-    line = [skeleton(w) for w in words]
-    by_letter: dict[str, list[str]] = {}
-    for w in set(words):
-        by_letter.setdefault(w[0], []).append(w)
-    return text, words, line, set(words), set(line), by_letter
-
-
 @lru_cache(maxsize=4)
 def _printed(raw: str | None, title: str | None) -> list[list[str]]:
     """Readings of a reference's title, as words: the labelled field, and what the printed style shows."""
@@ -277,13 +306,12 @@ def _printed(raw: str | None, title: str | None) -> list[list[str]]:
 
 def held(text: str | None, title: str | None, surnames: list[str]) -> bool:
     """The definition of a candidate: enough of a title's words beside an author, or enough of its runs, by skeletons."""
-    line, bones = _read(text)[2], _read(title)[2]
-    among, alone = _read(text)[4], set(telling(bones))
-    if len(alone & among) >= least(len(alone), HELD) and any(words and skeleton(words[-1]) in among for words in map(_surname, surnames)):
+    printed, own = _reference(text), _paper(title)
+    alone = own.telling
+    if len(alone & printed.skeletons) >= least(len(alone), HELD) and any(words and skeleton(words[-1]) in printed.skeletons for words in map(_surname, surnames)):
         return True
-    following = set(runs(bones))
-    n = min(3, len(bones))
-    return len(following & set(zip(*(line[i:] for i in range(n))))) >= least(len(following), RUNS) if following else False
+    n = min(3, len(own.line))
+    return n > 0 and len(own.runs(n) & printed.runs(n)) >= least(len(own.runs(n)), RUNS)
 
 
 @lru_cache(maxsize=100_000)
@@ -293,19 +321,20 @@ def _surname(surname: str) -> list[str]:
 
 def votes(raw: str | None, title: str | None, known_urn: str | None, pub_date: str | None, urn: str, paper_title: str | None, surnames: list[str], url: str | None) -> list[int]:
     """One vote in (-1, 0, 1) per function, in the order of FUNCTIONS."""
-    text, words, line, among, skeletons, by_letter = _read(raw if raw else title)
-    own_text, own, bones, mine, own_skeletons, letters = _read(paper_title)
-    found = [1.0 if t in among else _found(t, among, skeletons, by_letter) for t in own]
+    read, paper = _reference(raw if raw else title), _paper(paper_title)
+    own = paper.words
+    found = [1.0 if t in read.among else read.holds(t) for t in own]
     whole = sum(map(_weight, own)) or 1.0
     contained = sum(f * _weight(t) for f, t in zip(found, own)) / whole
     v = {"title_in_raw": 1 if own and contained >= 0.86 else -1 if contained < 0.6 else 0}
 
     # the longest run of title words that follow each other in the reference
     places: dict[str, list[int]] = {}
-    for i, b in enumerate(line):
-        places.setdefault(b, []).append(i)
+    for i, b in enumerate(read.line):
+        if b in paper.skeletons:
+            places.setdefault(b, []).append(i)
     best, before = 0.0, {}
-    for t, b in zip(own, bones):
+    for t, b in zip(own, paper.line):
         now = {i: before.get(i - 1, 0.0) + _weight(t) for i in places.get(b, ())}
         best = max(best, *now.values()) if now else best
         before = now
@@ -313,7 +342,7 @@ def votes(raw: str | None, title: str | None, known_urn: str | None, pub_date: s
 
     # words that only one of the two titles has, in the reading of the reference that leaves fewest: a slip leaves one on either side
     missing = [t for t, f in zip(own, found) if not f]
-    extra = [[t for t in reading if t not in mine and not _found(t, mine, own_skeletons, letters)] for reading in _printed(raw, title)]
+    extra = [[t for t in reading if t not in paper.among and not paper.holds(t)] for reading in _printed(raw, title)]
     over = min(extra, key=len) if extra else []
     if not extra or not own:
         v["title_same"] = 0
@@ -323,15 +352,15 @@ def votes(raw: str | None, title: str | None, known_urn: str | None, pub_date: s
         v["title_same"] = 0 if over else 1
 
     if surnames:
-        present = [s for s in surnames if s and all(t in among or _found(t, among, skeletons, by_letter) > 0.85 for t in _surname(s))]
+        present = [s for s in surnames if s and all(read.holds(t) > 0.85 for t in _surname(s))]
         v["first_author"] = 1 if surnames[0] in present else -1
-        expected = 1 if "et" in among and "al" in among else len(surnames)
+        expected = 1 if "et" in read.among and "al" in read.among else len(surnames)
         v["authors"] = 1 if len(present) >= max(1, 0.6 * expected) else -1 if not present else 0
     else:
         v["first_author"] = v["authors"] = 0
 
     year = YEAR.search(url or "")
-    printed = set(YEAR.findall(f"{pub_date or ''} {text}"))
+    printed = set(YEAR.findall(f"{pub_date or ''} {read.plain}"))
     v["year"] = 0 if not year or not printed else 1 if year.group(1) in printed else -1
     v["known"] = 1 if known_urn is not None and known_urn == urn else 0
     return [v[f] for f in FUNCTIONS]
