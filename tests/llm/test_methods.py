@@ -107,6 +107,45 @@ def test_many_near_copies_stay_together(spark):
     assert [r["count"] for r in sizes] == [150]
 
 
+def _sentences(rng, n):
+    words = [f"{a}o{b}o{c}o" for a in "bdkmprs" for b in "bdkmprsw" for c in "bdkmprsw"]
+    return [" ".join(rng.choice(words, 12)) + "." for _ in range(n)]
+
+
+def test_division_decides_over_the_components(spark):
+    rng = np.random.default_rng(8)
+    rows, families = [], []
+    for f in range(2):
+        base = _sentences(rng, 8)
+        families.append(base)
+        for i in range(6):
+            own = list(base)
+            own[i] = _sentences(rng, 1)[0]
+            rows.append((f"f{f}v{i}", " ".join(own)))
+    # a survey that takes some sentences of either family bridges them
+    rows.append(("bridge", " ".join(families[0][5:] + families[1][5:] + _sentences(rng, 4))))
+    made = clusters.Clustering(spark.createDataFrame(rows, "urn string, abstract string"), "urn", "abstract")
+    assert clusters.connected_components(made.edges).select("component").distinct().count() == 1
+    got = {r.key: r.cluster for r in made.clusters().collect()}
+    assert len({got[f"f0v{i}"] for i in range(6)}) == len({got[f"f1v{i}"] for i in range(6)}) == 1
+    assert got["f0v0"] != got["f1v0"]
+
+
+def test_affinities_do_not_depend_on_batches(spark):
+    rng = np.random.default_rng(9)
+    notice, base = _sentences(rng, 1), _sentences(rng, 8)
+    rows = [(i, " ".join(notice + (base[: 7 - i % 3] + _sentences(rng, 1 + i % 3) if i % 2 else _sentences(rng, 6)))) for i in range(240)]
+    texts = spark.createDataFrame(rows, "node bigint, text string")
+    found = []
+    for rows_a_batch, parts in ((10_000, 1), (37, 5)):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows_a_batch)
+        try:
+            found.append(sorted(map(tuple, clusters.affinities(texts.repartition(parts), few=4).collect())))
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] and len(found[0]) > 100
+
+
 def test_winnowing_marks_common_runs():
     rng = np.random.default_rng(1)
     run = rng.integers(0, 2**60, 3, dtype=np.uint64)
