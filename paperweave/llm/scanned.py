@@ -11,10 +11,12 @@ and the lexicon.
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,17 +42,18 @@ HEADER = re.compile(
     | ^[ \t]*(?:Page|Seite|p\.|Página|S\.)?[ \t]*[-–—\[(]?[ \t]*\d{1,4}[ \t]*[-–—\])]?[ \t]*$
     | [ \t]*\bPage[ ]\d{1,4}\b[ \t]*
     | (?<=[a-zà-ÿ,])[ ](?:-[ ]\d{1,4}[ ]-|\[\d{1,4}\])(?=[ ]+[a-zà-ÿ])
-    | [ \t]*(?:\b[A-Z][\w.]*[ ]){1,5}[A-Z]?\w*,[ ]Vol\.[ ]\d+(?:,[ ]No\.[ ]\d+)?[ \t]*
+    | [ \t]*(?:\b[A-Z][\w.]*[ ]){1,5}[A-Z]?\w*(?:,[ ][A-Z][a-z]{1,3}\.[ ]\d+)+[ \t]*
     | [ \t]*\b[^\W\d_][\w’'-]*[ ]et[ ]al\.[ ]/[ ][^\n/]{3,60}?[ ]\d+[ ]\(\d{4}\)[ ]\d+[-–]\d+[ \t]*
-    | [ \t]*\b(?:Preprint,[ ]not[ ]for[ ]circulation|(?:[A-Z][\w.]*[ ]){1,6}?[A-Z][\w.]*)[ ]{3,}\d{1,4}\b[ \t]*
+    | [ \t]*\b[A-Z][\w.]*(?:,?[ ][\w.]+){0,7}[ ]{3,}\d{1,4}\b[ \t]*
     | [ \t]*\b\d{1,4}[ ]{3,}(?:[A-Z]{2,}\b[ ]?){1,6}[ \t]*
     """,
     re.VERBOSE | re.MULTILINE,
 )
 #: Quick signs that the two patterns above may match; each holds wherever its pattern does.
 MAY_BREAK = re.compile(r"[-‐][ \t]*\n|[¬\xad]|- ")
+ISSUE = re.compile(r", [A-Z][a-z]{1,3}\. \d")
 NUMBER_LINE = re.compile(r"\n[ \t]*(?:Page|Seite|p\.|Página|S\.)?[ \t]*[-–—\[(]?[ \t]*\d{1,4}[ \t]*[-–—\])]?[ \t]*(?:\n|$)")
-HEADER_SIGNS = ("\x0c", "Page ", ", Vol. ", " al. / ", "   ", " - ", "[")
+HEADER_SIGNS = ("\x0c", "Page ", " al. / ", "   ", " - ", "[")
 HEADING = re.compile(r"^(?:\d+(?:\.\d+)*\.?\s+\S.{0,60}|(?:Table|Figure|Fig\.|Tabelle|Abbildung|Tableau|Tabla|Figura)\s+\d+\..*)$")
 FOUND = "kind string, key string, field string, pos int, word string, before string, after string, n bigint"
 
@@ -64,9 +67,9 @@ def reduced(word: str) -> str:
 
 
 def deletions(word: str) -> set[str]:
-    """Keys of a word in the symmetric-delete index: its reduced form, whole and with one character left out."""
+    """Keys of a word in the symmetric-delete index: its reduced form, whole and, of words of usual length, with one character left out."""
     form = reduced(word)
-    return {form} | ({form[:i] + form[i + 1 :] for i in range(len(form))} if len(form) > 4 else set())
+    return {form} | ({form[:i] + form[i + 1 :] for i in range(len(form))} if 4 < len(form) <= 40 else set())
 
 
 _TO = {}
@@ -92,7 +95,7 @@ def reading_distance(seen: str, meant: str) -> float:
 
 
 def _may_have_header(text: str) -> bool:
-    return any(sign in text for sign in HEADER_SIGNS) or NUMBER_LINE.search("\n" + text) is not None
+    return any(sign in text for sign in HEADER_SIGNS) or ISSUE.search(text) is not None or NUMBER_LINE.search("\n" + text) is not None
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +118,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def lexicon(texts: DataFrame) -> DataFrame:
     """(word, n) over all texts, lower-cased."""
-    return texts.mapInArrow(_count_words, "word string, n bigint").where("length(word) <= 40").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.mapInArrow(_count_words, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,9 +156,39 @@ def corrections(words: DataFrame, ratio: int = 20, most_cost: float = 0.95) -> D
     return distinct.mapInArrow(_distances, "word string, meant string, n bigint, meant_n bigint, cost double").where((F.col("cost") <= most_cost) & by_chance)
 
 
-def _scan(fields: list[str], known: frozenset, contested: frozenset):
+SUSPECT, CONTESTED = 1, 2
+
+
+class _Flags(dict):
+    """Word to what the scan does with it, worked out on first use: nothing with words of ``known``; of the others those count whose bit is set."""
+
+    def __init__(self, known: frozenset, suspect: np.ndarray, contested: np.ndarray) -> None:
+        self.known, self.bits = known, ((SUSPECT, suspect), (CONTESTED, contested))
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        code = zlib.crc32(word.encode("utf-8", "surrogatepass"))
+        flag = 0 if word in self.known else sum(f for f, bits in self.bits if bits[(at := code % (len(bits) * 8)) >> 3] >> (at & 7) & 1)
+        self[word] = flag
+        return flag
+
+
+def word_bits(words: DataFrame, a_word: int = 32, most: int = 1 << 30) -> np.ndarray:
+    """A bit for each of the words (word), ``a_word`` times as many bits as there are words and ``most`` at most: a fuller filter lets more words through, which a join drops.
+    Packed words of bits reach the driver."""
+    n = 1 << (min(most, max(1024, a_word * words.count())) - 1).bit_length()
+    at = F.crc32(F.encode("word", "utf-8")) % n
+    packed = words.select((at / 64).cast("bigint").alias("at"), F.expr("shiftleft(1L, cast(crc32(encode(word, 'utf-8')) % 64 as int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(n // 64, np.int64)
+    out[packed.column("at").to_numpy()] = packed.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def _scan(fields: list[str], known: frozenset, suspect: np.ndarray, contested: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: Counter = Counter()
+        flags = _Flags(known, suspect, contested)
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
             names, kinds = zip(*(c.split(" ") for c in FOUND.split(", ")))
@@ -181,16 +214,22 @@ def _scan(fields: list[str], known: frozenset, contested: frozenset):
                     if MAY_BREAK.search(text):
                         for m in BREAK.finditer(text):
                             a, b = m.group(1).lower(), m.group(5).lower()
-                            sure = m.group(3) is not None or a + b in known or (b not in known and len(b) > 1 and m.group(5)[0].islower())
-                            rows.append(("broken" if sure else "joint", key, field, m.start(), a + b, a, b, 1))
+                            # a sign that only breaks words, or a second part to be looked up
+                            rows.append(("broken" if m.group(3) is not None else "joint", key, field, m.start(), a + b, a, b if len(b) > 1 and m.group(5)[0].islower() else None, 1))
                         text = BREAK.sub(r"\1\5", text)
                     words = WORD.findall(text.lower())
-                    if not known.issuperset(words):
-                        for i, w in enumerate(words):
-                            if w not in known and len(w) > 3:
-                                rows.append(("word", key, field, i, w, words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else "", 1))
-                    if contested:
-                        pairs.update((a, b) for a, b in zip(words, words[1:]) if a in contested or b in contested)
+                    marks = list(map(flags.__getitem__, words))
+                    if not any(marks):
+                        continue
+                    for i in [i for i, mark in enumerate(marks) if mark]:
+                        w, before, after = words[i], words[i - 1] if i else "", words[i + 1] if i + 1 < len(words) else ""
+                        if marks[i] & SUSPECT and len(w) > 3:
+                            rows.append(("word", key, field, i, w, before, after, 1))
+                        if marks[i] & CONTESTED:
+                            if i and not marks[i - 1] & CONTESTED:
+                                pairs[before, w] += 1
+                            if i + 1 < len(words):
+                                pairs[w, after] += 1
             if len(pairs) > 400_000:
                 rows += take_pairs()
             if rows:
@@ -204,20 +243,19 @@ class Scan:
     """Everything that is found in one collection; its parts are kept in the checkpoint folder.
 
     ``records``: one row per record; repeated rows count once, null keys are dropped, null and empty texts hold nothing, extra
-    columns are ignored. ``known_words`` bounds the list of frequent words that every task gets, which only saves rows: words
-    outside it are looked up by a join.
+    columns are ignored. ``known_words`` bounds the list of frequent words that every task gets, which only saves rows: no result depends on it.
     """
 
     def __init__(self, records: DataFrame, key: str, fields: list[str], known_words: int = 30_000, ratio: int = 20) -> None:
-        self.key, self.fields = key, fields
+        self.key, self.fields, self.ratio = key, fields, ratio
         self.texts = records.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), *fields)
         self.words = cut_lineage(lexicon(self.texts.select(*fields)))
         self.candidates = cut_lineage(corrections(self.words, ratio))
-        frequent = self.words.where(F.col("n") >= ratio).join(self.candidates.select("word").distinct(), "word", "left_anti").orderBy(F.desc("n"), "word").limit(known_words).select("word")
-        known = frozenset(r.word for r in frequent.collect())
         several = self.candidates.withColumn("rivals", F.count("*").over(Window.partitionBy("word"))).where("rivals > 1")
-        contested = frozenset(r.meant for r in several.groupBy("meant").agg(F.max("meant_n").alias("n")).orderBy(F.desc("n"), "meant").limit(known_words).collect())
-        self.found = cut_lineage(self.texts.mapInArrow(_scan(fields, known, contested), FOUND))
+        suspects, contested = self.candidates.select("word").distinct(), cut_lineage(several.select(F.col("meant").alias("word")).distinct())
+        plain = self.words.where(F.col("n") >= ratio).join(suspects.union(contested), "word", "left_anti").orderBy(F.desc("n"), "word").limit(known_words).select("word")
+        known = frozenset(r.word for r in plain.collect())
+        self.found = cut_lineage(self.texts.mapInArrow(_scan(fields, known, word_bits(suspects), word_bits(contested)), FOUND))
 
     def misread(self) -> DataFrame:
         """(key, field, pos, word, meant): misread words with the best candidate; rivals are told apart by cost, then by the word pairs around them."""
@@ -235,10 +273,13 @@ class Scan:
         return single.unionByName(chosen)
 
     def broken(self) -> DataFrame:
-        """(key, field, pos, word): words broken by a hyphen that is not their own."""
+        """(key, field, pos, word): words broken by a hyphen that is not their own: the whole is a word of the lexicon, or the second part, in small letters, is none that is at all usual."""
         sure = self.found.where("kind = 'broken'").select("key", "field", "pos", "word")
-        joint = self.found.where("kind = 'joint'").select("key", "field", "pos", "word")
-        return sure.unionByName(joint.join(self.words.select("word"), "word", "left_semi").select("key", "field", "pos", "word"))
+        joint = self.found.where("kind = 'joint'").select("key", "field", "pos", "word", F.col("after").alias("part"))
+        whole = self.words.select("word", F.lit(True).alias("is_word"))
+        usual = self.words.where(F.col("n") >= self.ratio).select(F.col("word").alias("part"), F.lit(True).alias("is_usual"))
+        judged = joint.join(whole, "word", "left").join(usual, "part", "left").where(F.col("is_word").isNotNull() | (F.col("part").isNotNull() & F.col("is_usual").isNull()))
+        return sure.unionByName(judged.select("key", "field", "pos", "word"))
 
     def damage(self) -> DataFrame:
         """(key, field, headers, broken, misread) of every damaged field. Misread words count as damage if there are two different ones, or one that holds
