@@ -14,7 +14,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ SINGLE = str.maketrans({**dict.fromkeys("0oaec34", "o"), **dict.fromkeys("1li!|j
 CHEAP = 0.3
 
 WORD = re.compile(r"[^\W_]+(?:[!|][^\W_]+)*")
-BREAK = re.compile(r"([^\W\d_]+)(?:(-|‐)[ \t]*\n[ \t]*|([¬\xad])[ \t]*\n?[ \t]*|(-) )([^\W\d_]+)")
+BREAK = re.compile(r"(?<![^\W\d_])([^\W\d_]++)(?:(-|‐)[ \t]*\n[ \t]*|([¬\xad])[ \t]*\n?[ \t]*|(-) )([^\W\d_]+)")
 #: Running headers and page numbers, on a line or between form feeds or in the middle of a line.
 HEADER = re.compile(
     r"""\x0c[^\x0c\n]*\x0c?
@@ -196,6 +196,12 @@ def _scan(fields: list[str], known: frozenset, suspect: np.ndarray, contested: n
             columns = list(zip(*rows)) or [[] for _ in names]
             return pa.RecordBatch.from_arrays([pa.array(c, types[k]) for c, k in zip(columns, kinds)], names=list(names))
 
+        def join(rows: list[tuple], key: str, field: str, m: re.Match) -> str:
+            a, b = m.group(1).lower(), m.group(5).lower()
+            # a sign that only breaks words, or a second part to be looked up
+            rows.append(("broken" if m.group(3) is not None else "joint", key, field, m.start(), a + b, a, b if len(b) > 1 and m.group(5)[0].islower() else None, 1))
+            return m.group(1) + m.group(5)
+
         def take_pairs() -> list[tuple]:
             rows = [("pair", None, None, None, None, a, b, n) for (a, b), n in pairs.items()]
             pairs.clear()
@@ -208,15 +214,14 @@ def _scan(fields: list[str], known: frozenset, suspect: np.ndarray, contested: n
                 for key, text in zip(keys, column):
                     if not text:
                         continue
-                    if _may_have_header(text) and (head := HEADER.search(text)):
-                        rows.append(("header", key, field, head.start(), None, None, None, 1))
-                        text = HEADER.sub(" ", text)
+                    if _may_have_header(text):
+                        heads: list[int] = []
+                        cut = HEADER.sub(lambda m: heads.append(m.start()) or " ", text)
+                        if heads:
+                            rows.append(("header", key, field, heads[0], None, None, None, 1))
+                            text = cut
                     if MAY_BREAK.search(text):
-                        for m in BREAK.finditer(text):
-                            a, b = m.group(1).lower(), m.group(5).lower()
-                            # a sign that only breaks words, or a second part to be looked up
-                            rows.append(("broken" if m.group(3) is not None else "joint", key, field, m.start(), a + b, a, b if len(b) > 1 and m.group(5)[0].islower() else None, 1))
-                        text = BREAK.sub(r"\1\5", text)
+                        text = BREAK.sub(partial(join, rows, key, field), text)
                     words = WORD.findall(text.lower())
                     marks = list(map(flags.__getitem__, words))
                     if not any(marks):
