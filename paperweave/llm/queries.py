@@ -118,7 +118,8 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's subjects with their shares."""
     documents = read_table(spark, sf_dir, "documents")
-    return subjects.classify(documents, subjects.train(documents, read_table(spark, sf_dir, "subject_labels"), read_table(spark, sf_dir, "subjects")))
+    sample = cut_lineage(subjects.sampled(read_table(spark, sf_dir, "subject_labels")))
+    return subjects.classify(documents, subjects.train(documents, sample, read_table(spark, sf_dir, "subjects")), sample)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -153,9 +153,10 @@ def test_subjects(spark, empty):
     rows = [(i, (art if i % 2 else sea) * 3) for i in range(60)] + [(100, art * 3 + sea * 3), (101, None), (102, ""), (103, "1 2 3"), (104, art * 2000)]
     df = spark.createDataFrame([] if empty else rows, "doc_id long, text string").withColumns({k: F.lit(v) for k, v in EXTRA.items()})
     labels = spark.createDataFrame([] if empty else [(i, "art" if i % 2 else "sea") for i in range(40)] + [(None, "art"), (1, None), (999, "sea")], "doc_id long, subject string").withColumn("annotator", F.lit("r"))
-    model = subjects.train(df, labels, spark.createDataFrame([("art", ""), ("sea", ""), (None, None)], "subject string, description string"))
+    sample = subjects.sampled(labels)
+    model = subjects.train(df, sample, spark.createDataFrame([("art", ""), ("sea", ""), (None, None)], "subject string, description string"))
     got = {}
-    for r in subjects.classify(df, model).collect():
+    for r in subjects.classify(df, model, sample).collect():
         got.setdefault(r.doc_id, set()).add(r.subject)
     if empty:
         assert not got

@@ -218,8 +218,23 @@ def test_common_name_keys_are_refined_not_dropped(spark):
     assert ("person|schmidtbauer|klara|", "person|schmodtbauer|klara|") in got
 
 
-def test_subject_thresholds_follow_one_rule_at_every_size(spark):
-    lesser = [("a", 0.13 if i % 2 else 0.31) for i in range(30)] + [("b", 0.2) for i in range(10)]
-    composed = spark.createDataFrame([(i, s, share, False) for i, (s, share) in enumerate(lesser)], "doc_id bigint, subject string, share double, foremost boolean")
-    copies = composed.crossJoin(spark.range(100).withColumnRenamed("id", "copy")).drop("copy")
-    assert subjects.thresholds(composed, ["a", "b"]) == subjects.thresholds(copies, ["a", "b"])
+def test_subject_threshold_follows_one_rule_at_every_size(spark):
+    lesser = [(i, "a", 0.02 + 0.001 * (i % 90), False) for i in range(300)] + [(300 + i, "b", 0.3 + 0.001 * (i % 150), False) for i in range(200)]
+    composed = spark.createDataFrame(lesser, "doc_id bigint, subject string, share double, foremost boolean")
+    copies = composed.crossJoin(spark.range(30).withColumnRenamed("id", "copy")).drop("copy")
+    labels = [(i, ["b"] if i >= 300 and i % 3 else ["c"]) for i in range(0, 500, 2)]
+    sample = spark.createDataFrame(labels, "doc_id bigint, own array<string>")
+    found = subjects.threshold(composed, sample)
+    assert 0.11 <= found <= 0.3 and found == subjects.threshold(copies, sample)
+    assert 0.11 <= subjects.threshold(composed, sample.limit(0)) <= 0.5
+
+
+def test_subjects_of_held_out_labels_are_found(spark):
+    folder = "/root/testdata/sf0.1"
+    documents, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "subject_labels")
+    seen = subjects.sampled(labels.where("doc_id % 5 <> 0"))
+    model = subjects.train(documents, seen, read_table(spark, folder, "subjects"))
+    held_out = labels.where("doc_id % 5 = 0 and subject is not null").select("doc_id", "subject").distinct()
+    found = subjects.classify(documents.join(held_out, "doc_id", "left_semi"), model, seen)
+    # some labels are wrong
+    assert held_out.join(found, ["doc_id", "subject"], "left_semi").count() >= 0.9 * held_out.count()
