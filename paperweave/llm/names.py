@@ -3,6 +3,8 @@
 Names are brought to a form of surname, given name and middle initials. Suffixes of the surname, and suffixes of the
 given name together with the surname's beginning, index the forms; a suffix that too many forms share is not discarded before
 it has been refined by the given name's initial. Pairs are compared by the ratio of their longest common subsequence.
+Short forms of given names are learned from the collection itself: two given names that stand beside the same surnames far more often than chance would have it belong together, and
+the rarer one is the short form.
 Full names that agree are joined first; initials, cut-off and ambiguous short names join a person only if they
 fit one, or one far better than all others.
 """
@@ -20,23 +22,12 @@ from pyspark.sql import functions as F
 from paperweave.operators.components import connected_components
 from paperweave.plans.runtime import cut_lineage
 
-#: Short forms of given names by full name. Fixed values, from common usage.
-SHORT = {
-    "alexander": "alex sasha sandy xander", "anastasia": "nastya ana stasia asya", "anthony": "tony", "benjamin": "ben benny benji", "christopher": "chris kit topher", "consuelo": "chelo", "daniel": "dan danny", "dmitri": "dima mitya",
-    "dorottya": "dora dori dorka", "edward": "eddie ed ted ned teddy", "ekaterina": "katya katia", "elizabeth": "liz beth betty eliza lisa lizzie libby bess", "ferdinand": "ferdi ferdy", "francesco": "franco cecco", "friedrich": "fritz fred freddy",
-    "gabriele": "lele gabi", "giuseppe": "beppe peppe pino", "gregory": "greg", "guadalupe": "lupe lupita", "heinrich": "heinz heiner", "ignacio": "nacho", "jennifer": "jenny jen", "johannes": "hannes hans jan", "josephine": "josie jo", "katherine": "kathy kate katie kat",
-    "leopold": "poldi leo", "lukasz": "luk", "magdalena": "lena magda", "margaret": "maggie meg peggy greta rita marge", "matthew": "matt", "michael": "mike mick mickey", "nicholas": "nick nicky", "patricia": "pat trish patty tricia", "rebecca": "becky becca",
-    "richard": "dick rick rich ricky", "robert": "bob rob bobby robbie bert", "rosario": "charo", "salvatore": "toto turi sal", "samuel": "sam sammy", "stephen": "steve", "susanna": "susie sue susan suzy", "theodore": "ted theo teddy", "thomas": "tom tommy", "timothy": "tim timmy",
-    "vladimir": "vova vlad volodya", "wilhelmina": "mina minnie wilma", "william": "bill will billy willy liam", "xavier": "javi xavi", "zoltan": "zoli", "jurgen": "jogi", "keiko": "kei", "ioana": "ana oana", "magnus": "mans",
-}
-FULL: dict[str, set[str]] = {}
-for _full, _shorts in SHORT.items():
-    for _short in _shorts.split():
-        FULL.setdefault(_short, set()).add(_full)
 #: Words that make a name that of a group. Fixed values.
 GROUPS = ("study group", "working group", "research group", "collaboration", "consortium", "group", "team", "project", "network", "initiative")
 TITLE = re.compile(r"^(?:(?:dr|prof|professor|mr|mrs|ms|sir|dipl|ing|by|and|von der redaktion)\.?\s+)+", re.IGNORECASE)
 TAIL = re.compile(r"(?:\s*\((?:eds?|hrsg)\.?\)|[\s,]+(?:jr|sr|phd|ph\.d|md|ii|iii)\b\.?|[*†‡§,;\d\s])+$", re.IGNORECASE)
+#: Ratio of the longest common subsequence from which two given names of one surname are slips of one.
+ALIKE = 0.79
 FORM = "name string, n bigint, kind string, surname string, given string, middle string"
 
 
@@ -163,7 +154,7 @@ def common_ratio(a: str, b: str) -> float:
 
 
 def relation(a: dict, b: dict) -> int:
-    """2: the same full name; 1: it may be the same, as one is short; 0: different."""
+    """2: the same full name; 1: it may be the same, as one is short; 0: different. ``full``: the full names that a given name is a short form of."""
     if a["kind"] != b["kind"]:
         return 0
     same = a["surname"] == b["surname"]
@@ -177,44 +168,63 @@ def relation(a: dict, b: dict) -> int:
         return 0
     if not g or not h:
         return 0
+    of_g, of_h = set(a["full"] or ()), set(b["full"] or ())
     if g == h:
-        return 2 if len(g) > 1 and not short(g) else 1 if same else 0
+        return 2 if len(g) > 1 and len(of_g) < 2 else 1 if same else 0
     if not same:
         return 0
     if len(g) > len(h):
-        g, h = h, g
-    if h in FULL.get(g, ()) or g in FULL.get(h, ()):
-        return 1 if len(FULL.get(g, FULL.get(h, ()))) > 1 else 2
+        g, h, of_g, of_h = h, g, of_h, of_g
+    if h in of_g or g in of_h:
+        return 1 if len(of_g if h in of_g else of_h) > 1 else 2
     if h.startswith(g) and len(g) < max(2, len(h) - 1):
         return 1
-    if FULL.get(g, set()) & FULL.get(h, set()):
+    if of_g & of_h:
         return 1
-    if len(g) > 3 and common_ratio(g, h) >= 0.79:
+    if len(g) > 3 and common_ratio(g, h) >= ALIKE:
         return 2
-    return 1 if any(full.startswith(g) for full in FULL.get(h, ())) else 0
+    return 1 if any(full.startswith(g) for full in of_h) else 0
 
 
-def short(given: str) -> bool:
-    """Initials, cut-off names and short forms of more than one name: they may fit several people."""
-    return len(given) <= 1 or len(FULL.get(given, ())) > 1
+def _unlike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that are no slips of each other."""
+    for batch in batches:
+        yield batch.filter(pa.array([common_ratio(a, b) < ALIKE for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())], pa.bool_()))
+
+
+def short_forms(forms: DataFrame, least: int = 3, lift: float = 10.0) -> DataFrame:
+    """(given, full): the full names of each short given name, learned from ``forms`` (kind, surname, given).
+
+    A pair of given names counts if it shares at least ``least`` surnames, and ``lift`` times as many as it would by chance. Names that fewer surnames have are
+    left out before any pair is made, which loses none.
+    """
+    held = forms.where("kind = 'person' and surname <> '' and length(given) > 1").select("surname", "given").distinct()
+    counts = held.groupBy("given").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    usual = cut_lineage(held.join(counts, "given"))
+    surnames = held.agg(F.count_distinct("surname")).scalar()
+    short, full = usual.select("surname", "given", F.col("n").alias("short_n")), usual.select("surname", F.col("given").alias("full"), F.col("n").alias("full_n"))
+    rarer = (F.col("short_n") < F.col("full_n")) | ((F.col("short_n") == F.col("full_n")) & (F.col("given") < F.col("full")))
+    together = short.join(full, "surname").where(rarer).groupBy("given", "full", "short_n", "full_n").agg(F.count("*").alias("n"))
+    kept = together.where((F.col("n") >= least) & (F.col("n") * surnames >= lift * F.col("short_n") * F.col("full_n")))
+    return kept.select("given", "full").mapInArrow(_unlike, "given string, full string")
 
 
 def _keys(shortest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
-            for form, surname, given in zip(*(batch.column(c).to_pylist() for c in ("form", "surname", "given"))):
-                initial = given[:1]
+            for form, surname, given, full in zip(*(batch.column(c).to_pylist() for c in ("form", "surname", "given", "full"))):
+                initials = sorted({given[:1], *(f[0] for f in full or ())})
                 own = {f"s{surname[i:]}" for i in range(max(1, len(surname) - shortest + 1))}
                 if len(given) > 3:
                     own |= {f"g{given[i:]}|{surname[:3]}" for i in range(len(given) - 3)} | {f"g{given[0]}|{surname[:5]}"}
                 for key in own:
                     out[0].append(key)
                     out[1].append(form)
-                    out[2].append(initial)
+                    out[2].append(initials)
                     out[3].append(key == f"s{surname}")
                     out[4].append(given)
-            yield pa.record_batch({"index_key": pa.array(out[0], pa.string()), "form": pa.array(out[1], pa.string()), "initial": pa.array(out[2], pa.string()), "whole": pa.array(out[3], pa.bool_()), "given": pa.array(out[4], pa.string())})
+            yield pa.record_batch({"index_key": pa.array(out[0], pa.string()), "form": pa.array(out[1], pa.string()), "initials": pa.array(out[2], pa.list_(pa.string())), "whole": pa.array(out[3], pa.bool_()), "given": pa.array(out[4], pa.string())})
 
     return run
 
@@ -226,13 +236,13 @@ def _related(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def candidate_pairs(forms: DataFrame, shortest: int = 5, common: int = 60) -> DataFrame:
-    """(a, b) pairs of forms that share an index key. A suffix of more than ``common`` forms is refined by the initial; of those, keys that are
+    """(a, b) pairs of forms that share an index key. A suffix of more than ``common`` forms is refined by the initials of the given name and of what it is short for; of those, keys that are
     still too common and no whole surname are refined by the whole given name, which loses no pair: forms of different surnames are related only if
     their given names agree, and forms of one surname meet under it."""
-    keys = cut_lineage(forms.mapInArrow(_keys(shortest), "index_key string, form string, initial string, whole boolean, given string"))
+    keys = cut_lineage(forms.mapInArrow(_keys(shortest), "index_key string, form string, initials array<string>, whole boolean, given string"))
     sizes = keys.groupBy("index_key").agg(F.count("*").alias("size"), F.max("whole").alias("kept"))
     rare = keys.join(sizes.where(F.col("size").between(2, common)).select("index_key"), "index_key").select("index_key", "form")
-    frequent = keys.join(sizes.where(F.col("size") > common).select("index_key", "kept"), "index_key").select(F.concat_ws("|", "index_key", "initial").alias("index_key"), "form", "kept", "given")
+    frequent = keys.join(sizes.where(F.col("size") > common).select("index_key", "kept"), "index_key").select("index_key", "form", "kept", "given", F.explode("initials").alias("initial")).select(F.concat_ws("|", "index_key", "initial").alias("index_key"), "form", "kept", "given")
     refined_sizes = frequent.groupBy("index_key").agg(F.count("*").alias("size"))
     sized = frequent.join(refined_sizes, "index_key").where(F.col("size") > 1)
     refined = sized.select(F.when((F.col("size") <= common) | F.col("kept"), F.col("index_key")).otherwise(F.concat_ws("|", "index_key", F.coalesce("given", F.lit("")))).alias("index_key"), "form")
@@ -249,16 +259,18 @@ def link_names(records: DataFrame, name: str = "author_name", clearly: float = 3
     """
     spellings = records.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n"))
     spelt = cut_lineage(forms_of(spellings).withColumn("form", F.when(F.col("kind") == "none", F.concat(F.lit("none|"), "name")).otherwise(F.concat_ws("|", "kind", "surname", "given", "middle"))))
-    forms = spelt.where("kind <> 'none'").groupBy("form", "kind", "surname", "given", "middle").agg(F.sum("n").alias("n"))
+    named = spelt.where("kind <> 'none'").groupBy("form", "kind", "surname", "given", "middle").agg(F.sum("n").alias("n"))
+    full = short_forms(named).groupBy("given").agg(F.sort_array(F.collect_set("full")).alias("full"))
+    forms = cut_lineage(named.join(full, "given", "left").withColumn("full", F.coalesce("full", F.array().cast("array<string>"))))
     pairs = candidate_pairs(forms, shortest, common)
-    one = forms.select("form", F.struct("kind", "surname", "given", "middle").alias("f"))
+    one = forms.select("form", F.struct("kind", "surname", "given", "middle", "full").alias("f"))
     compared = pairs.join(one.select(F.col("form").alias("a"), F.col("f").alias("fa")), "a").join(one.select(F.col("form").alias("b"), F.col("f").alias("fb")), "b")
     related = cut_lineage(compared.select("a", "b", "fa", "fb").mapInArrow(_related, "a string, b string, related int").where("related > 0"))
     # a full name's group: joined by relation 2 among forms; a form all of whose links are of relation 1 is a short one
     strong = connected_components(related.where("related = 2"))
-    grouped = forms.join(strong.withColumnRenamed("node", "form"), "form", "left").select("form", "middle", "given", "n", F.coalesce("component", "form").alias("person"))
-    weak = F.udf(lambda g: short(g or ""), "boolean")
-    looks_short = grouped.withColumn("is_short", weak("given"))
+    grouped = forms.join(strong.withColumnRenamed("node", "form"), "form", "left").select("form", "middle", "given", "full", "n", F.coalesce("component", "form").alias("person"))
+    # initials, and short forms of more than one name: they may fit several people
+    looks_short = grouped.withColumn("is_short", (F.length("given") <= 1) | (F.size("full") > 1))
     people = looks_short.groupBy("person").agg(F.min("is_short").alias("only_short"), F.sum("n").alias("weight"), F.count("*").alias("held"))
     member = cut_lineage(looks_short.join(people, "person"))
     both = related.where("related = 1").select("a", "b").union(related.where("related = 1").select("b", "a"))

@@ -212,12 +212,18 @@ def test_known_links_are_found(spark):
 
 def test_common_name_keys_are_refined_not_dropped(spark):
     surnames = ["sch" + a + b + "dtbauer" for a in "bdfgklmnpr" for b in "aeiouyw"]
-    forms = spark.createDataFrame([(f"person|{s}|klara|", s, "klara") for s in surnames], "form string, surname string, given string")
+    forms = spark.createDataFrame([(f"person|{s}|klara|", s, "klara", []) for s in surnames], "form string, surname string, given string, full array<string>")
     got = {(r.a, r.b) for r in names.candidate_pairs(forms).collect()}
     # a slip inside the surname: all keys that the two share hold all 70 forms
     assert ("person|schmidtbauer|klara|", "person|schmodtbauer|klara|") in got
 
 
+def test_short_forms_are_learned_from_the_collection(spark):
+    rows = [("person", f"{a}{b}ner", g) for i, (a, b) in enumerate([(a, b) for a in "bdfgklmnpr" for b in "aeiouyw"]) for g in ((("robert", "bob") if i % 2 else ("maria", "mitzi")) if i < 20 else (("robert",), ("maria",), ("anna", "ivan"))[i % 3])]
+    got = {(r.given, r.full) for r in names.short_forms(spark.createDataFrame(rows, "kind string, surname string, given string"), lift=2.0).collect()}
+    assert {("bob", "robert"), ("mitzi", "maria")} <= got and all(x in {"bob", "mitzi", "anna"} for x, _ in got)
+
+
 def test_subject_threshold_follows_one_rule_at_every_size(spark):
     lesser = [(i, "a", 0.02 + 0.001 * (i % 90), False) for i in range(300)] + [(300 + i, "b", 0.3 + 0.001 * (i % 150), False) for i in range(200)]
     composed = spark.createDataFrame(lesser, "doc_id bigint, subject string, share double, foremost boolean")
