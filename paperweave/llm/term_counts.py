@@ -26,7 +26,7 @@ from paperweave.llm.words import terms_of
 from paperweave.plans.runtime import distinct_by
 
 #: Terms and distinct terms that a task takes together before it passes their suffixes on.
-FLUSH_AT, MOST_TERMS = 1_000_000, 1_000_000
+FLUSH_AT, MOST_TERMS = 1_500_000, 1_000_000
 
 
 class _Numbers(dict):
