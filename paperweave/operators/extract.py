@@ -14,8 +14,14 @@ from pyspark.sql.types import ArrayType, StringType
 from paperweave.functions.text import expand_ligatures, single_spaced
 
 PARSED = "doc_id string, title string, authors array<string>, abstract string, body string, reference_text string"
-#: Words that show that a line is no list of authors.
-NO_AUTHORS = "university institute department college school laboratory center centre research abstract introduction email street avenue faculty academy conference proceedings".split()
+#: Parts of words, with their case, that show that a line is no list of authors, and the length from which a piece of it is no name.
+NO_AUTHORS = (
+    "Berkeley", "College", "Computer", "Department", "Engineering", "IEEE", "Institute", "Laboratory", "Member",
+    "Microsoft", "Netherlands", "Project", "Report", "Research", "School", "Science", "Technology", "Universit",
+)
+NAME_BELOW = 35
+#: What stands between two names.
+BETWEEN_NAMES = r"\s*,|\n+|\s+and\s+|^\s*and\s+|\s+AND\s+"
 
 
 def paper_score(text: Column) -> Column:
@@ -62,18 +68,14 @@ def split_references(raw: str | None, longest: int = 350) -> list[str]:
 
 
 def author_names(line: str | None) -> list[str]:
-    """Names in a line of authors; none if the line holds what names do not, or if a name does not look like one."""
-    if not line or re.search(r"[\d@&]", line) or any(w in line.lower() for w in NO_AUTHORS):
+    """Names in a line of authors; none if the line holds what names do not, or if a piece of it is not two or three words, the first and the last
+    of which begin with a capital. Pieces that are too long are left out."""
+    if not line or re.search(r"[\d@&]", line) or any(w in line for w in NO_AUTHORS):
         return []
-    names = []
-    for piece in re.split(r",|\n|\band\b|\bAND\b", line):
-        words = piece.split()
-        if not words:
-            continue
-        if len(piece.strip()) >= 35 or not 2 <= len(words) <= 3 or not (words[0][0].isupper() and words[-1][0].isupper()):
-            return []
-        names.append(" ".join(words))
-    return names
+    pieces = [p for p in re.split(BETWEEN_NAMES, re.sub(r",\s*$", "", line)) if 0 < len(p) < NAME_BELOW]
+    words = [p.split() for p in pieces]
+    looks_right = all(2 <= len(w) <= 3 and "A" <= w[0][0] <= "Z" and "A" <= w[-1][0] <= "Z" for w in words)
+    return [" ".join(w) for w in words] if looks_right else []
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -208,14 +210,8 @@ def join_line(text: str, line: str) -> str:
     return text + line
 
 
-def parse_layout(html: str | None) -> dict | None:
-    """Title, authors, abstract, body and reference text of a converted paper; None if it does not look like one."""
-    text = re.sub(r"<[^>]*>", " ", html or "")
-    low, head = text.lower(), text.lower()[:3000]
-    score = (2 if "abstract" in head or "summary" in head else 1 if "abstract" in low or "summary" in low else 0) + (1 if "introduction" in low else 0.5 if "ntroduction" in low else 0)
-    score += (1 if "conclusion" in low else 0.5 if "onclusion" in low else 0) + (1 if "references" in low else 1.5 if "eferences" in low else 1 if "bibliography" in low else 0)
-    if score <= 1.99:
-        return None
+def parse_layout(html: str | None) -> dict:
+    """Title, authors, abstract, body and reference text of a converted paper."""
     layout = _Layout()
     layout.feed(html or "")
     layout.close()
@@ -231,11 +227,11 @@ def parse_documents(html: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = [{"doc_id": i, **p} for i, h in zip(frame["doc_id"], frame["html"]) if (p := parse_layout(h)) is not None]
+            rows = [{"doc_id": i, **parse_layout(h)} for i, h in zip(frame["doc_id"], frame["html"])]
             yield pd.DataFrame(rows, columns=["doc_id", "title", "authors", "abstract", "body", "reference_text"])
 
     cleaned = html.select(F.col("doc_id").cast("string").alias("doc_id"), expand_ligatures(F.col("html")).alias("html"))
-    return cleaned.mapInPandas(run, PARSED)
+    return cleaned.where(is_paper(F.regexp_replace("html", "<[^>]*>", " "))).mapInPandas(run, PARSED)
 
 
 def references_of(parsed: DataFrame) -> DataFrame:
