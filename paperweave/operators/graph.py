@@ -17,6 +17,28 @@ def edges_of(citations: DataFrame, papers: DataFrame, self_citations: bool = Fal
     return edges.join(known.withColumnRenamed("urn", "citing_urn"), ["peer", "citing_urn"], "left_semi").join(known.withColumnRenamed("urn", "cited_urn"), ["peer", "cited_urn"], "left_semi")
 
 
+def graph_counters(references: DataFrame, links: DataFrame) -> DataFrame:
+    """(peer, papers_citing, strings_total, strings_analysed, edges_added): reference strings of each peer, those without a link so far, and the links that the linker found for them."""
+    refs = references.where("citing_urn is not null and ref_pos is not null").groupBy("peer", "citing_urn", "ref_pos").agg(F.max("cited_urn").alias("cited_urn"))
+    strings = refs.groupBy("peer").agg(F.count_distinct("citing_urn").alias("papers_citing"), F.count("*").alias("strings_total"), F.count_if(F.col("cited_urn").isNull()).alias("strings_analysed"))
+    added = links.groupBy("peer").agg(F.count("*").alias("edges_added"))
+    return strings.join(added, "peer", "left").withColumn("edges_added", F.coalesce("edges_added", F.lit(0)))
+
+
+def adjacency_lines(papers: DataFrame, edges: DataFrame) -> DataFrame:
+    """(peer, urn, line): for each paper, in the order of urns, 1 for every paper of the peer that it cites and 0 for every other.
+
+    Only where the dense dump is wanted: a line is as long as the peer has papers.
+    """
+    place = F.row_number().over(Window.partitionBy("peer").orderBy("urn"))
+    numbered = papers.select("peer", "urn").distinct().withColumn("place", place)
+    n = numbered.groupBy("peer").agg(F.max("place").alias("n"))
+    cited = edges.join(numbered.select("peer", F.col("urn").alias("cited_urn"), "place"), ["peer", "cited_urn"]).groupBy("peer", F.col("citing_urn").alias("urn")).agg(F.collect_set("place").alias("cited"))
+    held = numbered.drop("place").join(n, "peer").join(cited, ["peer", "urn"], "left")
+    cells = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.when(F.array_contains("cited", i), "1 ").otherwise("0 "))
+    return held.select("peer", "urn", F.array_join(cells, "").alias("line"))
+
+
 def dangling_nodes(papers: DataFrame, edges: DataFrame) -> DataFrame:
     """Papers that cite none."""
     return papers.select("peer", "urn").join(edges.select("peer", F.col("citing_urn").alias("urn")), ["peer", "urn"], "left_anti")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import zlib
+from dataclasses import dataclass, replace
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperweave.functions.text import explode_terms
@@ -27,20 +30,67 @@ def weigh(frequencies: DataFrame, idf: DataFrame) -> DataFrame:
     return raw.select("peer", "zone", "urn", "term", "tf", F.when(length > 0, F.col("w") / length).otherwise(0.0).alias("weight"))
 
 
-class Index:
-    """The papers of all peers with their postings; lazily planned, so only the zones and peers asked for are computed."""
+#: Folders per zone of the stored postings: a query reads those of its terms.
+BUCKETS = 32
 
-    def __init__(self, papers: DataFrame, zones: tuple[str, ...] = ZONES) -> None:
-        self.papers = known_papers(papers)
-        self.counts = paper_counts(self.papers)
-        self.frequencies = term_frequencies(zones_of(self.papers, zones))
-        self.idf = document_frequencies(self.frequencies, self.counts)
-        self.postings = weigh(self.frequencies, self.idf)
 
+def bucket(term: Column) -> Column:
+    return F.pmod(F.crc32(F.encode(term, "utf-8")), F.lit(BUCKETS)).cast("int")
 
-def write_postings(postings: DataFrame, path: str) -> None:
-    """Parquet by zone, clustered by term, so that a query reads few row groups."""
-    postings.repartitionByRange("zone", "peer", "term").sortWithinPartitions("zone", "peer", "term").write.mode("overwrite").partitionBy("zone").parquet(path)
+
+@dataclass
+class Index:
+    """The papers of all peers with their term frequencies, idf values and postings."""
+
+    papers: DataFrame
+    counts: DataFrame
+    frequencies: DataFrame
+    idf: DataFrame
+    postings: DataFrame
+    #: Whether idf and postings have the column ``bucket`` by which they are stored.
+    bucketed: bool = False
+
+    def narrowed(self, zones: tuple[str, ...], terms: list[str] | None = None) -> Index:
+        """Only the idf values and postings of some zones and terms; of a stored index nothing else is read."""
+        keep = F.col("zone").isin(*zones)
+        if terms is not None:
+            keep = keep & F.col("term").isin(*terms)
+            if self.bucketed:
+                keep = keep & F.col("bucket").isin(*sorted({zlib.crc32(t.encode()) % BUCKETS for t in terms}))
+        return replace(self, idf=self.idf.where(keep), postings=self.postings.where(keep))
+
+
+def build_index(papers: DataFrame, zones: tuple[str, ...] = ZONES) -> Index:
+    """Lazily planned, so only the zones and peers asked for are computed."""
+    known = known_papers(papers)
+    counts = paper_counts(known)
+    frequencies = term_frequencies(zones_of(known, zones))
+    idf = document_frequencies(frequencies, counts)
+    return Index(known, counts, frequencies, idf, weigh(frequencies, idf))
+
+
+def write_index(index: Index, folder: str) -> None:
+    """Postings and idf values as Parquet, in folders by zone and a bucket of the term and in the order of terms, so that a query reads few row groups.
+    The texts are read once."""
+    def store(df: DataFrame, name: str, *order: str) -> None:
+        # by range, so that a term of very many papers is spread over tasks
+        placed = df.withColumn("bucket", bucket(F.col("term"))).repartitionByRange("zone", "bucket", "term", *order).sortWithinPartitions("zone", "bucket", "term", *order)
+        placed.write.mode("overwrite").partitionBy("zone", "bucket").parquet(f"{folder}/{name}")
+
+    spark = index.papers.sparkSession
+    index.papers.select("peer", "urn", "title", "abstract", "resource_url").write.mode("overwrite").parquet(f"{folder}/papers")
+    index.counts.write.mode("overwrite").parquet(f"{folder}/counts")
+    index.frequencies.write.mode("overwrite").parquet(f"{folder}/frequencies")
+    frequencies = spark.read.parquet(f"{folder}/frequencies")
+    store(document_frequencies(frequencies, index.counts), "idf", "peer")
+    idf = spark.read.parquet(f"{folder}/idf").drop("bucket")
+    store(weigh(frequencies, idf), "postings", "peer", "urn")
+
+
+def read_index(spark: SparkSession, folder: str) -> Index:
+    """The index that ``write_index`` left."""
+    t = {name: spark.read.parquet(f"{folder}/{name}") for name in ("papers", "counts", "frequencies", "idf", "postings")}
+    return Index(t["papers"], t["counts"], t["frequencies"], t["idf"], t["postings"], bucketed=True)
 
 
 def index_stats(frequencies: DataFrame) -> DataFrame:

@@ -6,19 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def result_xml(results: DataFrame) -> DataFrame:
-    """(query_id, peer, result_rank, xml) of results with urn, title, authors (array), abstract, resource_url, score, pagerank and cited_by."""
+def result_xml(results: DataFrame, scored: bool = True) -> DataFrame:
+    """(query_id, peer, result_rank, xml) of results with urn, title, authors (array), abstract, resource_url and, if they are ``scored``, score, pagerank and cited_by."""
     abstract = F.concat(F.lit("["), F.length(F.coalesce("abstract", F.lit(""))), F.lit("] - "), F.coalesce("abstract", F.lit("")))
-    fields = F.struct(
-        "urn",
-        "title",
-        F.array_join("authors", ", ").alias("authors"),
-        abstract.alias("abstract"),
-        F.col("resource_url").alias("resource"),
-        F.format_string("%f", "score").alias("similarity"),
-        F.format_string("%f", "pagerank").alias("pagerank"),
-        F.col("cited_by").alias("citedby"),
-    )
+    plain = ("urn", "title", F.array_join("authors", ", ").alias("authors"), abstract.alias("abstract"), F.col("resource_url").alias("resource"))
+    scores = (F.format_string("%f", "score").alias("similarity"), F.format_string("%f", "pagerank").alias("pagerank"), F.col("cited_by").alias("citedby"))
+    fields = F.struct(*plain, *(scores if scored else ()))
     return results.select("query_id", "peer", "result_rank", F.to_xml(fields, {"rowTag": "result"}).alias("xml"))
 
 

@@ -6,10 +6,12 @@ query's length and m times to every score.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from paperweave.functions.text import raw_tokens
+from paperweave.functions.text import SPACE, raw_tokens
 from paperweave.operators.index import Index
 
 #: Coefficients of the zones. The full-text ones are those in effect; the declared ones can be asked for.
@@ -18,6 +20,11 @@ FULL_TEXT = {"title": 0.40, "abstract": 0.60, "body": 0.25}
 FULL_TEXT_DECLARED = {"title": 0.40, "abstract": 0.35, "body": 0.25}
 
 
+def typed_terms(texts: dict[str, str]) -> list[str]:
+    """The distinct tokens of typed queries."""
+    return sorted({t for q in texts.values() for t in re.split(SPACE, q.lower())})
+
+
 def make_queries(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
     """(query_id, term, m): tokens as typed, lower-cased and split at white space, with their number."""
     rows = spark.createDataFrame(sorted(texts.items()), "query_id string, query string")

@@ -62,6 +62,14 @@ def _walk(steps: int = 10) -> str:
     return ", ".join(parts)
 
 
+def _settled(batches: int = 3) -> str:
+    """The ranks after the first batch of ten steps whose last one changed them by less than 0.01 a paper."""
+    change = lambda k: f"(SELECT a.peer, sqrt(sum((a.rank - b.rank) * (a.rank - b.rank))) / any_value(a.n) < 0.01 AS settled FROM x{k} a JOIN x{k - 1} b USING (peer, urn) GROUP BY a.peer)"
+    done = " ".join(f"WHEN c{k}.settled THEN x{k}.rank" for k in range(10, 10 * batches, 10))
+    joins = " ".join(f"JOIN {change(k)} c{k} USING (peer)" + (f" JOIN x{k} USING (peer, urn)" if k > 10 else "") for k in range(10, 10 * batches, 10))
+    return f"SELECT peer, urn, round(CASE {done} ELSE x{10 * batches}.rank END, 6) AS rank FROM x10 {joins} JOIN x{10 * batches} USING (peer, urn)"
+
+
 RANKS = f"WITH {PAPERS}, {EDGES}, nodes AS (SELECT peer, urn FROM papers1), {_walk()}"
 
 REF_TOKEN = """CASE WHEN regexp_matches(t, '\\.$') THEN regexp_replace(t, '\\.$', '') WHEN regexp_matches(t, ',$') THEN regexp_replace(t, ',$', '') WHEN regexp_matches(t, ';$') THEN replace(t, ';', '')
@@ -71,12 +79,12 @@ REFS = f"""refs1 AS (SELECT peer, citing_urn, ref_pos, any_value(title) AS title
     refs AS MATERIALIZED (SELECT peer, citing_urn, ref_pos, known, list_filter(flatten(list_transform(string_split_regex(lower(title), '{SPACE}'), lambda t: string_split({REF_TOKEN}, '-'))), lambda w: w <> '') AS query FROM refs1)"""
 
 
-def _links(alpha: float = 0.90, gate: str = "", where: str = "") -> str:
+def _links(alpha: float = 0.90, gate: str = "", where: str = "", k: int = 5) -> str:
     return f"""{INDEX}, {REFS},
         asked AS (SELECT peer, citing_urn, ref_pos, term, count(*) AS m FROM (SELECT peer, citing_urn, ref_pos, unnest(query) AS term FROM refs {where}) GROUP BY ALL),
         wq AS (SELECT peer, citing_urn, ref_pos, zone, term, m, m * idf AS wq, sqrt(sum(m * m * idf * m * idf) OVER (PARTITION BY peer, citing_urn, ref_pos, zone)) AS norm FROM asked JOIN idf USING (peer, term) WHERE zone IN ('title', 'abstract')),
         scores AS (SELECT peer, citing_urn, ref_pos, urn, sum(CASE zone WHEN 'title' THEN {alpha} ELSE 1 - {alpha} END * weight * CASE WHEN norm > 0 THEN m * wq / norm ELSE 0 END) AS score FROM wq JOIN postings USING (peer, zone, term) GROUP BY ALL),
-        best AS (SELECT * FROM scores {gate} QUALIFY row_number() OVER (PARTITION BY peer, citing_urn, ref_pos ORDER BY round(score, 9) DESC, urn) <= 5),
+        best AS (SELECT * FROM scores {gate} QUALIFY row_number() OVER (PARTITION BY peer, citing_urn, ref_pos ORDER BY round(score, 9) DESC, urn) <= {k}),
         cand AS (SELECT b.*, r.query, list_filter(string_split_regex(lower(p.title), '{SPACE}'), lambda w: w <> '') AS candidate FROM best b JOIN papers1 p USING (peer, urn) JOIN refs r USING (peer, citing_urn, ref_pos) WHERE b.urn <> b.citing_urn),
         measured AS (SELECT *, len(list_filter(candidate, lambda w: list_contains(query, w))) / nullif(CAST(len(candidate) AS DOUBLE), 0) AS overlap FROM cand),
         links AS (SELECT peer, citing_urn, ref_pos, urn AS cited_urn, round(overlap, 6) AS overlap FROM measured WHERE overlap > 0.85 QUALIFY row_number() OVER (PARTITION BY peer, citing_urn, ref_pos ORDER BY overlap DESC, urn) = 1)"""
@@ -153,6 +161,16 @@ SQL = {
     "tag_cloud": f"""{CENTROID}, t AS (SELECT peer, term, weight, least(min(weight) OVER (PARTITION BY peer), 1.0) AS lo, greatest(max(weight) OVER (PARTITION BY peer), 0.0) AS hi FROM placed WHERE place <= 30)
         SELECT peer, term, CAST(ceil(round(6 + 20 * (weight - lo) / (hi - lo), 9)) AS INTEGER) AS font FROM t WHERE hi > lo""",
     "paper_classifier": f"SELECT doc_id, CAST({_score_of('text')} AS DOUBLE) AS score, {_score_of('text')} > 1.99 AS paper FROM documents",
+    "link_citations_oldest": f"{_links(k=3)} SELECT DISTINCT peer, citing_urn, cited_urn FROM (SELECT peer, citing_urn, ref_pos, urn AS cited_urn FROM measured WHERE score > 0.40 AND overlap > 0.85 QUALIFY row_number() OVER (PARTITION BY peer, citing_urn, ref_pos ORDER BY overlap DESC, urn) = 1)",
+    "build_and_analyse": f"{_links()}, nodes AS (SELECT peer, urn FROM papers1), edges AS MATERIALIZED (SELECT DISTINCT l.peer, citing_urn, cited_urn FROM links l JOIN papers1 p ON p.peer = l.peer AND p.urn = l.citing_urn), {_walk(30)} {_settled()}",
+    "graph_counters": f"""{_links(where='WHERE known IS NULL')}, strings AS (SELECT peer, citing_urn, ref_pos, max(cited_urn) AS known FROM bib_refs WHERE citing_urn IS NOT NULL AND ref_pos IS NOT NULL GROUP BY ALL), added AS (SELECT peer, count(*) AS n FROM links GROUP BY peer)
+        SELECT s.peer, count(DISTINCT citing_urn) AS papers_citing, count(*) AS strings_total, count(*) FILTER (known IS NULL) AS strings_analysed, coalesce(any_value(n), 0) AS edges_added FROM strings s LEFT JOIN added USING (peer) GROUP BY s.peer""",
+    "adjacency_dump": f"WITH {PAPERS}, {EDGES} SELECT p.peer, p.urn, string_agg(CASE WHEN e.peer IS NULL THEN '0 ' ELSE '1 ' END, '' ORDER BY q.urn) AS line FROM papers1 p JOIN papers1 q USING (peer) LEFT JOIN edges e ON e.peer = p.peer AND e.citing_urn = p.urn AND e.cited_urn = q.urn GROUP BY p.peer, p.urn",
+    "author_filter": r"""WITH a AS (SELECT urn, author_pos, any_value(author_name) AS n FROM paper_authors GROUP BY urn, author_pos), l AS (SELECT urn, string_agg(n, ', ' ORDER BY author_pos) AS line FROM a GROUP BY urn),
+        p AS (SELECT urn, list_filter(string_split_regex(regexp_replace(line, ',\s*$', ''), '\s*,|\n+|\s+and\s+|^\s*and\s+|\s+AND\s+'), lambda x: length(x) > 0 AND length(x) < 35) AS pieces FROM l
+            WHERE NOT regexp_matches(line, '[\d@&]') AND NOT regexp_matches(line, 'Berkeley|College|Computer|Department|Engineering|IEEE|Institute|Laboratory|Member|Microsoft|Netherlands|Project|Report|Research|School|Science|Technology|Universit')),
+        w AS (SELECT urn, list_transform(pieces, lambda x: list_filter(string_split_regex(x, '\s+'), lambda y: y <> '')) AS words FROM p)
+        SELECT urn, unnest(list_transform(words, lambda x: array_to_string(x, ' '))) AS author_name FROM w WHERE len(list_filter(words, lambda x: len(x) NOT BETWEEN 2 AND 3 OR NOT regexp_matches(x[1], '^[A-Z]') OR NOT regexp_matches(x[-1], '^[A-Z]'))) = 0""".replace("\\\\", "\\"),
     "hamming_distance": "SELECT a.n_name AS a, b.n_name AS b, CAST(hamming(upper(a.n_name), upper(b.n_name)) AS INTEGER) AS distance FROM nation a JOIN nation b ON length(a.n_name) = length(b.n_name)",
     "clean_titles": f"SELECT urn, trim(regexp_replace(replace(replace(replace(replace(any_value(title), 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), 'ﬃ', 'ffi'), '{SPACE}+', ' ', 'g')) AS title FROM papers WHERE title IS NOT NULL GROUP BY urn",
     "known_resources": "WITH r AS (SELECT peer, nullif(regexp_extract(resource_url, '([^/]+)\\.[^./]+$', 1), '') AS resource_key FROM papers) SELECT DISTINCT resource_key FROM r WHERE resource_key IS NOT NULL AND resource_key NOT IN (SELECT resource_key FROM r WHERE peer = 'mirelo' AND resource_key IS NOT NULL)",

@@ -10,7 +10,7 @@ from paperweave.functions import text as T
 from paperweave.operators import corpus, evaluate, extract, graph, index, linking, lsi, present, profiles, search, social
 from paperweave.operators.components import connected_components
 from paperweave.plans.oracles import BUDDY_PEER, QUERY, SQL  # noqa: F401
-from paperweave.plans.runtime import cut_lineage, read_table
+from paperweave.plans.runtime import cut_lineage, read_table, shared_folder
 from paperweave.sources import files
 from paperweave.streaming import peers
 
@@ -19,15 +19,20 @@ NEEDLE_AUTHOR = "guadalupe"
 
 
 def _index(spark: SparkSession, d: str, zones: tuple[str, ...] = corpus.ZONES) -> index.Index:
-    return index.Index(read_table(spark, d, "papers"), zones)
+    return index.build_index(read_table(spark, d, "papers"), zones)
 
 
-def _kept(made: index.Index) -> index.Index:
-    """The index with its statistics in the checkpoint folder, for queries that read them more than once."""
-    made.frequencies = cut_lineage(made.frequencies)
-    made.idf = cut_lineage(index.document_frequencies(made.frequencies, made.counts))
-    made.postings = cut_lineage(index.weigh(made.frequencies, made.idf))
-    return made
+_written: dict[tuple[str, str], str] = {}
+
+
+def _stored(spark: SparkSession, d: str) -> index.Index:
+    """The index of a folder of tables, written once an application and read by every query after."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _written:
+        folder = shared_folder(spark, f"index-{len(_written)}")
+        index.write_index(_index(spark, d), folder)
+        _written[key] = folder
+    return index.read_index(spark, _written[key])
 
 
 def _rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
@@ -67,16 +72,16 @@ def index_stats(spark, d):
 
 
 def term_doc_matrix_export(spark, d):
-    rows = index.matrix_rows(_index(spark, d, ("title",)).postings, "%.3f")
+    rows = index.matrix_rows(_stored(spark, d).narrowed(("title",)).postings, "%.3f")
     return rows.select("peer", "term", F.size(F.split("line", ",")).alias("cells"), F.aggregate(F.split("line", ","), F.lit(0), lambda s, x: s + (x != "0.000").cast("int")).alias("filled"))
 
 
 def vocabulary_export(spark, d):
-    return index.vectors(_index(spark, d, ("title",)).postings).select("peer", "papers", "terms")
+    return index.vectors(_stored(spark, d).narrowed(("title",)).postings).select("peer", "papers", "terms")
 
 
 def _search(spark, d, zones, query=QUERY, k=10, mode="or"):
-    made = _index(spark, d, tuple(zones))
+    made = _stored(spark, d).narrowed(tuple(zones), search.typed_terms({"q": query}))
     return _rounded(search.search(made, search.make_queries(spark, {"q": query}), zones, k, mode), "score").select("peer", "result_rank", "urn", "score")
 
 
@@ -109,8 +114,9 @@ def search_and_mode(spark, d):
 
 
 def search_batch(spark, d):
-    made = _index(spark, d, ("title", "abstract"))
-    found = search.search(made, search.make_queries(spark, {"a": QUERY, "b": REPEATED, "c": "unknownterm"}), search.TITLE_AND_ABSTRACT, 5)
+    typed = {"a": QUERY, "b": REPEATED, "c": "unknownterm"}
+    made = _stored(spark, d).narrowed(("title", "abstract"), search.typed_terms(typed))
+    found = search.search(made, search.make_queries(spark, typed), search.TITLE_AND_ABSTRACT, 5)
     return _rounded(found, "score").select("query_id", "peer", "result_rank", "urn", "score")
 
 
@@ -141,24 +147,30 @@ def search_enriched(spark, d):
 
 
 def link_citations(spark, d):
-    made = _kept(_index(spark, d, ("title", "abstract")))
+    made = _stored(spark, d).narrowed(("title", "abstract"))
     return _rounded(linking.link_citations(made, read_table(spark, d, "bib_refs")), "overlap")
 
 
 def link_citations_gated(spark, d):
     """The older variant: coefficients 0.95 and 0.05 and a least score."""
-    made = _kept(_index(spark, d, ("title", "abstract")))
+    made = _stored(spark, d).narrowed(("title", "abstract"))
     return linking.citation_edges(linking.link_citations(made, read_table(spark, d, "bib_refs"), alpha=0.95, least_score=0.20))
 
 
+def link_citations_oldest(spark, d):
+    """The oldest variant: the best three by title and abstract, from a score of 0.40 on."""
+    made = _stored(spark, d).narrowed(("title", "abstract"))
+    return linking.citation_edges(linking.link_citations(made, read_table(spark, d, "bib_refs"), k=3, least_score=0.40))
+
+
 def link_citations_incremental(spark, d):
-    made = _kept(_index(spark, d, ("title", "abstract")))
+    made = _stored(spark, d).narrowed(("title", "abstract"))
     return linking.citation_edges(linking.link_citations(made, read_table(spark, d, "bib_refs"), unresolved_only=True))
 
 
 def link_evaluation(spark, d):
     """Measures of the linker against the known links, over the papers that have any."""
-    made = _kept(_index(spark, d, ("title", "abstract")))
+    made = _stored(spark, d).narrowed(("title", "abstract"))
     true = read_table(spark, d, "citations").select("peer", "citing_urn", "cited_urn")
     found = linking.citation_edges(linking.link_citations(made, read_table(spark, d, "bib_refs"))).join(true.select("citing_urn").distinct(), "citing_urn", "left_semi")
     counts = evaluate.confusion(found, true, ["peer", "citing_urn", "cited_urn"])
@@ -176,6 +188,23 @@ def _edges(spark, d):
     return graph.edges_of(read_table(spark, d, "citations"), _papers(spark, d))
 
 
+def build_and_analyse(spark, d):
+    """The citation graph as the linker builds it from the reference strings, and the rank of every paper in it."""
+    made = _stored(spark, d)
+    links = linking.link_citations(made.narrowed(("title", "abstract")), read_table(spark, d, "bib_refs"))
+    edges = cut_lineage(graph.edges_of(linking.citation_edges(links), made.papers))
+    return _rounded(graph.pagerank(made.papers, edges), "rank")
+
+
+def graph_counters(spark, d):
+    made, refs = _stored(spark, d), read_table(spark, d, "bib_refs")
+    return graph.graph_counters(refs, linking.link_citations(made.narrowed(("title", "abstract")), refs, unresolved_only=True))
+
+
+def adjacency_dump(spark, d):
+    return graph.adjacency_lines(_papers(spark, d), _edges(spark, d))
+
+
 def pagerank(spark, d):
     return _rounded(graph.pagerank(_papers(spark, d), _edges(spark, d)), "rank")
 
@@ -208,15 +237,15 @@ def citation_components(spark, d):
 
 
 def _centroid(spark, d):
-    return cut_lineage(profiles.centroid(_index(spark, d, ("abstract",)).postings))
+    return cut_lineage(profiles.centroid(_stored(spark, d).narrowed(("abstract",)).postings))
 
 
 def peer_centroid(spark, d):
-    return _rounded(profiles.centroid(_index(spark, d, ("abstract",)).postings), "weight")
+    return _rounded(profiles.centroid(_stored(spark, d).narrowed(("abstract",)).postings), "weight")
 
 
 def peer_rss(spark, d):
-    return _rounded(profiles.rss(_index(spark, d, ("abstract",)).postings), "rss")
+    return _rounded(profiles.rss(_stored(spark, d).narrowed(("abstract",)).postings), "rss")
 
 
 def centroid_top50(spark, d):
@@ -257,12 +286,12 @@ def friendship_stats(spark, d):
 
 def recommendations(spark, d):
     top, chosen = _buddies(spark, d)
-    return _rounded(social.recommendations(_index(spark, d, ("title",)), chosen, top), "score")
+    return _rounded(social.recommendations(_stored(spark, d).narrowed(("title",)), chosen, top), "score")
 
 
 def p2p_search(spark, d):
     _, chosen = _buddies(spark, d)
-    made = _kept(_index(spark, d))
+    made = _stored(spark, d).narrowed(corpus.ZONES, search.typed_terms({"q": QUERY}))
     return _rounded(social.federated_search(made, search.make_queries(spark, {"q": QUERY}), BUDDY_PEER, chosen), "score").select("origin", "result_rank", "urn", "score")
 
 
@@ -338,7 +367,7 @@ def clean_titles(spark, d):
 
 
 def stem_terms(spark, d):
-    terms = _index(spark, d, ("title",)).frequencies.select("term").distinct()
+    terms = _stored(spark, d).idf.select("term").distinct()
     return terms.select("term", porter.porter_stem("term").alias("stem"))
 
 
@@ -396,12 +425,12 @@ def kmeans_docs(spark, d):
 
 
 def lsi_singular_values(spark, d):
-    values = lsi.singular_values(cut_lineage(_index(spark, d, ("title",)).postings), 5, 500)
+    values = lsi.singular_values(_stored(spark, d).narrowed(("title",)).postings, 5, 500)
     return _rounded(spark.createDataFrame(list(enumerate(values)), "place int, value double"), "value", places=4)
 
 
 def document_cosines(spark, d):
-    made = _kept(_index(spark, d, ("abstract",)))
+    made = _stored(spark, d).narrowed(("abstract",))
     asked = made.papers.where(F.substring("urn", 4, 9).cast("int") % 20 == 0)
     return _rounded(lsi.document_similarities(made.postings, asked), "sim").where("sim >= 0.3")
 
@@ -411,8 +440,8 @@ QUERIES = {
     for f in (
         tokenize_zone, stopword_filter, term_frequency, document_frequency_idf, tfidf_postings, doc_norms, index_stats, term_doc_matrix_export, vocabulary_export,
         search_title, search_abstract, search_all, search_fulltext, search_fulltext_declared, search_duplicate_terms, search_and_mode, search_batch, author_search, citation_counts, cited_by, search_enriched,
-        link_citations, link_citations_gated, link_citations_incremental, link_evaluation, reference_overlap,
-        pagerank, pagerank_color_scale, pagerank_lineitem, dangling_nodes, citation_dot, citation_components,
+        link_citations, link_citations_gated, link_citations_oldest, link_citations_incremental, link_evaluation, reference_overlap,
+        build_and_analyse, graph_counters, adjacency_dump, pagerank, pagerank_color_scale, pagerank_lineitem, dangling_nodes, citation_dot, citation_components,
         peer_centroid, peer_rss, centroid_top50, centroid_ratio, centroid_stemmed30, peer_similarity, taste_buddies, taste_buddies_stemmed, friendship_stats, recommendations, p2p_search, gossip_neighbours, tag_cloud,
         paper_classifier, reference_split, reference_labels, author_filter, layout_parse, result_xml,
         edit_distance, hamming_distance, edit_distance_links, clean_titles, stem_terms, known_resources,

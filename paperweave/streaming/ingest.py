@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from paperweave.operators import profiles, social
-from paperweave.operators.index import Index
+from paperweave.operators.index import build_index
 from paperweave.sources.files import insert_if_absent
 from paperweave.streaming.peers import on_each_batch
 
@@ -24,7 +24,7 @@ class Collection:
         insert_if_absent(papers, self.path("papers"), "peer", "urn")
         changed = papers.select("peer").distinct()
         own = self.spark.read.parquet(self.path("papers")).join(changed, "peer", "left_semi")
-        index = Index(own)
+        index = build_index(own)
         dynamic = {"partitionOverwriteMode": "dynamic"}
         index.postings.write.mode("overwrite").options(**dynamic).partitionBy("peer").parquet(self.path("postings"))
         centroid = profiles.centroid(self.spark.read.parquet(self.path("postings")).join(changed, "peer", "left_semi"))

@@ -26,7 +26,7 @@ def test_tfidf_example(spark):
     held = {"content": [2, 5], "network": [1, 3, 4], "overlay": [1, 2, 3], "peer-to-peer": [3, 4, 5, 6], "semantic": [1, 2, 3, 6]}
     docs = {d: " ".join(t for t, ds in held.items() if d in ds) for d in range(1, 7)}
     papers = spark.createDataFrame([("p", f"d{d}", t, None, "", None) for d, t in docs.items()], "peer string, urn string, title string, abstract string, body string, resource_url string")
-    made = index.Index(papers)
+    made = index.build_index(papers)
     w = {(r.urn, r.term): r.weight for r in made.postings.collect()}
     expected = {("d1", "network"): 0.653, ("d1", "semantic"): 0.382, ("d2", "content"): 0.807, ("d3", "overlay"): 0.610, ("d4", "peer-to-peer"): 0.505, ("d5", "content"): 0.938, ("d6", "semantic"): 0.707}
     for k, v in expected.items():
@@ -43,7 +43,7 @@ def test_tfidf_example(spark):
 
 def test_term_in_every_paper_scores_zero_and_is_kept(spark):
     papers = spark.createDataFrame([("p", u, "common", None, None, None) for u in "ab"], "peer string, urn string, title string, abstract string, body string, resource_url string")
-    made = index.Index(papers)
+    made = index.build_index(papers)
     rows = search.search(made, search.make_queries(spark, {"q": "common"}), {"title": 1.0}).orderBy("result_rank").collect()
     assert [(r.urn, r.score) for r in rows] == [("a", 0.0), ("b", 0.0)]
     enriched = search.enrich(search.search(made, search.make_queries(spark, {"q": "common"}), {"title": 1.0}), made.papers, spark.createDataFrame([("p", "a", 0.5)], "peer string, urn string, rank double"))

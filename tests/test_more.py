@@ -38,12 +38,16 @@ def test_tag_cloud(spark):
 
 def test_matrix_and_postings_files(spark, tmp_path):
     papers = spark.createDataFrame([("p", "a", "red cache", None, None, None), ("p", "b", "blue cache", None, None, None)], "peer string, urn string, title string, abstract string, body string, resource_url string")
-    made = index.Index(papers, ("title",))
+    made = index.build_index(papers, ("title",))
     lines = {r.term: r.line for r in index.matrix_rows(made.postings).collect()}
     assert lines == {"red": "1.00000,0.00000", "blue": "0.00000,1.00000", "cache": "0.00000,0.00000"}
-    index.write_postings(made.postings, str(tmp_path / "postings"))
-    back = spark.read.parquet(str(tmp_path / "postings")).where("zone = 'title'")
-    assert back.count() == 4 and "PartitionFilters: [isnotnull(zone" in back._jdf.queryExecution().toString()
+    index.write_index(made, str(tmp_path / "index"))
+    stored = index.read_index(spark, str(tmp_path / "index"))
+    for name in ("postings", "idf"):
+        assert sorted(map(tuple, getattr(stored, name).drop("bucket").select(sorted(getattr(made, name).columns)).collect())) == sorted(map(tuple, getattr(made, name).select(sorted(getattr(made, name).columns)).collect()))
+    few = stored.narrowed(("title",), ["red", "nowhere"]).postings
+    plan = few._jdf.queryExecution().toString()
+    assert [r.urn for r in few.collect()] == ["a"] and "PartitionFilters: [isnotnull(zone" in plan and "bucket" in plan and "PushedFilters: [In(term" in plan
     stats = index.index_stats(made.frequencies).first()
     assert (stats.terms, stats.papers, stats.cells) == (3, 2, 6)
 

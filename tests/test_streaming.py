@@ -1,5 +1,5 @@
 from paperweave.operators import profiles
-from paperweave.operators.index import Index
+from paperweave.operators.index import build_index
 from paperweave.plans.runtime import distinct_by, read_table
 from paperweave.sources import files
 from paperweave.streaming.ingest import Collection
@@ -13,7 +13,7 @@ def test_ingesting_in_batches_equals_one_batch(spark, tmp_path):
     made = Collection(spark, str(tmp_path / "out"))
     stream = spark.readStream.schema(papers.schema).option("maxFilesPerTrigger", 1).parquet(str(source))
     made.follow(stream, str(tmp_path / "checkpoint")).awaitTermination()
-    batch = profiles.top_terms(profiles.centroid(Index(papers).postings))
+    batch = profiles.top_terms(profiles.centroid(build_index(papers).postings))
     rows = lambda df: sorted((r.peer, r.term, round(r.weight, 9)) for r in df.collect())
     assert rows(spark.read.parquet(made.path("profiles"))) == rows(batch)
     assert spark.read.parquet(made.path("papers")).count() == distinct_by(papers, "peer", "urn").count()
