@@ -425,10 +425,17 @@ def kmeans_docs(spark, d):
 
 
 def lsi_singular_values(spark, d):
-    values = lsi.singular_values(_stored(spark, d).narrowed(("title",)).postings, 5, 500)
+    values, _ = lsi.singular_vectors(_stored(spark, d).narrowed(("title",)).postings, 5)
     return _rounded(spark.createDataFrame(list(enumerate(values)), "place int, value double"), "value", places=4)
 
 
+def lsi_documents(spark, d):
+    """Titles in the space of the five leading singular vectors; the sign of a vector is free, so absolute values."""
+    postings = _stored(spark, d).narrowed(("title",)).postings
+    values, terms = lsi.singular_vectors(postings, 5)
+    return lsi.documents_in_space(postings, terms, len(values)).select("peer", "urn", F.transform("coordinates", lambda x: F.round(F.abs(x), 4)).alias("coordinates"))
+
+
 def document_cosines(spark, d):
     made = _stored(spark, d).narrowed(("abstract",))
     asked = made.papers.where(F.substring("urn", 4, 9).cast("int") % 20 == 0)
@@ -445,6 +452,6 @@ QUERIES = {
         peer_centroid, peer_rss, centroid_top50, centroid_ratio, centroid_stemmed30, peer_similarity, taste_buddies, taste_buddies_stemmed, friendship_stats, recommendations, p2p_search, gossip_neighbours, tag_cloud,
         paper_classifier, reference_split, reference_labels, author_filter, layout_parse, result_xml,
         edit_distance, hamming_distance, edit_distance_links, clean_titles, stem_terms, known_resources,
-        peer_presence, peer_liveness, peer_ports, latest_profile, stream_presence, embedding_neighbors, kmeans_docs, lsi_singular_values, document_cosines,
+        peer_presence, peer_liveness, peer_ports, latest_profile, stream_presence, embedding_neighbors, kmeans_docs, lsi_singular_values, lsi_documents, document_cosines,
     )
 }
