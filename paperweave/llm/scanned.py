@@ -32,6 +32,8 @@ CONFUSIONS = [
 #: Forms shared by characters that are confused; several characters first. Fixed values that follow from CONFUSIONS.
 MERGED = [("rn", "m"), ("vv", "w"), ("cl", "d"), ("ii", "n"), ("li", "b"), ("in", "m"), ("ni", "m"), ("nn", "m")]
 SINGLE = str.maketrans({**dict.fromkeys("0oaec34", "o"), **dict.fromkeys("1li!|jtf7", "l"), **dict.fromkeys("5s", "s"), **dict.fromkeys("9gq", "g"), **dict.fromkeys("68bh", "b"), **dict.fromkeys("2z", "z"), **dict.fromkeys("nu", "n"), **dict.fromkeys("vy", "v")})
+#: Letters that digits and signs are read for, put in before characters are merged. Fixed values that follow from CONFUSIONS.
+LETTER = str.maketrans("01!|59682347", "olllsgbbzeat")
 CHEAP = 0.3
 
 WORD = re.compile(r"[^\W_]+(?:[!|][^\W_]+)*")
@@ -61,6 +63,7 @@ FOUND = "kind string, key string, field string, pos int, word string, before str
 @lru_cache(maxsize=100_000)
 def reduced(word: str) -> str:
     """The form in which confused characters fall together."""
+    word = word.translate(LETTER)
     for a, b in MERGED:
         word = word.replace(a, b)
     return word.translate(SINGLE)

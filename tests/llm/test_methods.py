@@ -21,7 +21,7 @@ def test_queries_against_sql(spark):
 def test_every_query_runs(spark):
     for name in sorted(set(QUERIES) - set(SQL)):
         df = QUERIES[name](spark, DATA)
-        assert df.count() >= 0 and len(set(df.columns)) == len(df.columns)
+        assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
 
 
 def test_ngram_counts_against_brute_force(spark):
@@ -218,6 +218,41 @@ def test_common_name_keys_are_refined_not_dropped(spark):
     assert ("person|schmidtbauer|klara|", "person|schmodtbauer|klara|") in got
 
 
+def test_planted_spellings_are_linked(spark):
+    given = ["robert", "maria", "anders", "claire", "yusuf", "helene", "tomas", "ingrid"]
+    surnames = [f"{a}{b}{c}son" for a in ("brad", "kel", "vor", "lin") for b in ("ami", "oru", "ete") for c in ("k", "st", "nd")]
+    people = [(g, s) for i, s in enumerate(surnames) for g in [given[i % len(given)]]]
+    truth, rows = {}, []
+    for n, (g, s) in enumerate(people):
+        slip = s[:4] + s[5] + s[4] + s[6:]
+        for name in (f"{g.title()} {s.title()}", f"{s.title()}, {g.title()}", f"{g[0].upper()}. {s.title()}", f"{g.title()} {slip.title()}", f"{g.title()} {s.title()}*"):
+            truth[name] = n
+            rows += [(name,)] * (3 if name.startswith(g.title()) else 1)
+    got = {(r.name_a, r.name_b) for r in names.spelling_pairs(names.link_names(spark.createDataFrame(rows, "author_name string"))).collect()}
+    wanted = {(a, b) for a in truth for b in truth if a < b and truth[a] == truth[b]}
+    assert len(got & wanted) >= 0.95 * len(wanted) and len(got & wanted) >= 0.98 * len(got)
+
+
+def test_planted_scanning_damage_is_found(spark):
+    rng = np.random.default_rng(2)
+    words = "modern carbon signal garden common furnace channel burning formal summer market system climate charming member problem".split()
+    clean = {f"c{i}": " ".join(rng.choice(words, 60)) + "." for i in range(60)}
+    misread = {f"m{i}": (t := " ".join(rng.choice(words, 60))).replace("modern", "rnodern", 1).replace("summer", "surnmer", 1) + " c1imate" for i in range(4)}
+    broken = {f"b{i}": " ".join(rng.choice(words, 30)) + " prob-\nlem " + " ".join(rng.choice(words, 30)) for i in range(8)}
+    headed = {f"h{i}": " ".join(rng.choice(words, 30)) + f"\nPage {i + 3}\n" + " ".join(rng.choice(words, 30)) for i in range(8)}
+    df = spark.createDataFrame(list({**clean, **misread, **broken, **headed}.items()), "urn string, body string")
+    scan = scanned.Scan(df, "urn", ["body"])
+    assert {r.key for r in scan.damage().collect()} == {*misread, *broken, *headed}
+    repaired = {r.key: r.repaired for r in scan.repaired().collect()}
+    assert all("prob-" not in repaired[k] and " problem " in repaired[k] for k in broken) and all("Page" not in repaired[k] for k in headed) and all("c1imate" not in repaired[k] and "rnodern" not in repaired[k] for k in misread)
+
+
+def test_no_result_depends_on_the_list_of_frequent_words(spark):
+    papers = read_table(spark, DATA, "papers")
+    found = [sorted(map(tuple, scanned.Scan(papers, "urn", ["abstract", "body"], known_words=n).damage().collect())) for n in (0, 50, 30_000)]
+    assert found[0] == found[1] == found[2]
+
+
 def test_short_forms_are_learned_from_the_collection(spark):
     rows = [("person", f"{a}{b}ner", g) for i, (a, b) in enumerate([(a, b) for a in "bdfgklmnpr" for b in "aeiouyw"]) for g in ((("robert", "bob") if i % 2 else ("maria", "mitzi")) if i < 20 else (("robert",), ("maria",), ("anna", "ivan"))[i % 3])]
     got = {(r.given, r.full) for r in names.short_forms(spark.createDataFrame(rows, "kind string, surname string, given string"), lift=2.0).collect()}
