@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-from paperweave.functions.text import expand_ligatures, single_spaced
+from paperweave.functions.text import SPACE, expand_ligatures, single_spaced
 
 PARSED = "doc_id string, title string, authors array<string>, abstract string, body string, reference_text string"
 #: Parts of words, with their case, that show that a line is no list of authors, and the length from which a piece of it is no name.
@@ -70,10 +70,10 @@ def split_references(raw: str | None, longest: int = 350) -> list[str]:
 def author_names(line: str | None) -> list[str]:
     """Names in a line of authors; none if the line holds what names do not, or if a piece of it is not two or three words, the first and the last
     of which begin with a capital. Pieces that are too long are left out."""
-    if not line or re.search(r"[\d@&]", line) or any(w in line for w in NO_AUTHORS):
+    if not line or re.search("[0-9@&]", line) or any(w in line for w in NO_AUTHORS):
         return []
-    pieces = [p for p in re.split(BETWEEN_NAMES, re.sub(r",\s*$", "", line)) if 0 < len(p) < NAME_BELOW]
-    words = [p.split() for p in pieces]
+    pieces = [p for p in re.split(BETWEEN_NAMES, re.sub(r",\s*$", "", line, flags=re.ASCII), flags=re.ASCII) if 0 < len(p) < NAME_BELOW]
+    words = [[w for w in re.split(SPACE, p) if w] for p in pieces]
     looks_right = all(2 <= len(w) <= 3 and "A" <= w[0][0] <= "Z" and "A" <= w[-1][0] <= "Z" for w in words)
     return [" ".join(w) for w in words] if looks_right else []
 

@@ -168,7 +168,7 @@ SQL = {
     "adjacency_dump": f"WITH {PAPERS}, {EDGES} SELECT p.peer, p.urn, string_agg(CASE WHEN e.peer IS NULL THEN '0 ' ELSE '1 ' END, '' ORDER BY q.urn) AS line FROM papers1 p JOIN papers1 q USING (peer) LEFT JOIN edges e ON e.peer = p.peer AND e.citing_urn = p.urn AND e.cited_urn = q.urn GROUP BY p.peer, p.urn",
     "author_filter": r"""WITH a AS (SELECT urn, author_pos, any_value(author_name) AS n FROM paper_authors GROUP BY urn, author_pos), l AS (SELECT urn, string_agg(n, ', ' ORDER BY author_pos) AS line FROM a GROUP BY urn),
         p AS (SELECT urn, list_filter(string_split_regex(regexp_replace(line, ',\s*$', ''), '\s*,|\n+|\s+and\s+|^\s*and\s+|\s+AND\s+'), lambda x: length(x) > 0 AND length(x) < 35) AS pieces FROM l
-            WHERE NOT regexp_matches(line, '[\d@&]') AND NOT regexp_matches(line, 'Berkeley|College|Computer|Department|Engineering|IEEE|Institute|Laboratory|Member|Microsoft|Netherlands|Project|Report|Research|School|Science|Technology|Universit')),
+            WHERE NOT regexp_matches(line, '[0-9@&]') AND NOT regexp_matches(line, 'Berkeley|College|Computer|Department|Engineering|IEEE|Institute|Laboratory|Member|Microsoft|Netherlands|Project|Report|Research|School|Science|Technology|Universit')),
         w AS (SELECT urn, list_transform(pieces, lambda x: list_filter(string_split_regex(x, '\s+'), lambda y: y <> '')) AS words FROM p)
         SELECT urn, unnest(list_transform(words, lambda x: array_to_string(x, ' '))) AS author_name FROM w WHERE len(list_filter(words, lambda x: len(x) NOT BETWEEN 2 AND 3 OR NOT regexp_matches(x[1], '^[A-Z]') OR NOT regexp_matches(x[-1], '^[A-Z]'))) = 0""".replace("\\\\", "\\"),
     "hamming_distance": "SELECT a.n_name AS a, b.n_name AS b, CAST(hamming(upper(a.n_name), upper(b.n_name)) AS INTEGER) AS distance FROM nation a JOIN nation b ON length(a.n_name) = length(b.n_name)",
