@@ -47,7 +47,8 @@ def assign(sizes: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int
     offsets = sums.withColumn("__offset", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
     inside = Window.partitionBy("source", "__bucket").orderBy("__order", key).rowsBetween(Window.unboundedPreceding, -1)
     placed = spread.withColumn("__inner", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).join(offsets, ["source", "__bucket"])
-    begun = placed.join(plan, "source").withColumn("__begin", F.col("__offset") + F.col("__inner"))
+    # one row for each source that has a target
+    begun = placed.join(F.broadcast(plan), "source").withColumn("__begin", F.col("__offset") + F.col("__inner"))
     uses = F.least(F.col("max_passes").cast("bigint"), F.ceil(F.try_divide(F.col("demand") - F.col("__begin"), F.greatest(F.col("tokens"), F.lit(1)))))
     used = begun.withColumn("__uses", uses).where("__uses > 0").withColumn("pass", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__uses")))).where(F.col("__begin") + (F.col("pass") - 1) * F.col("tokens") < F.col("demand"))
     c = (F.col("__begin") + (F.col("pass") - 1) * F.col("tokens")) / F.col("demand")
