@@ -181,3 +181,17 @@ def test_components_of_a_long_chain(spark):
 @given(st.lists(st.sampled_from("abcde fghij network systems caching caches".split()), max_size=8))
 def test_stemming_is_lower_case_and_short(words):
     assert all(len(porter.stem(w)) <= len(w) + 1 for w in words)
+
+
+def test_hamming_distance_of_unequal_lengths(spark):
+    import pytest
+
+    df = spark.createDataFrame([("abc", "abd"), ("abc", "ab"), (None, "a")], "a string, b string")
+    assert [r[0] for r in df.select(T.hamming_distance(F.col("a"), F.col("b"))).collect()] == [1, None, None]
+    with pytest.raises(Exception, match="unequal length"):
+        df.select(T.hamming_distance(F.col("a"), F.col("b"), strict=True)).collect()
+
+
+def test_old_tokens(spark):
+    df = spark.createDataFrame([("The Graph, (a) of models;  x.",)], "t string")
+    assert df.select(T.old_tokens(F.col("t"))).first()[0] == ["graph", "models", "", "x"]
