@@ -1,5 +1,8 @@
+from pyspark.sql import functions as F
+
 from paperweave.operators import profiles
 from paperweave.operators.index import build_index
+from paperweave.plans.queries import QUERIES
 from paperweave.plans.runtime import distinct_by, read_table
 from paperweave.sources import files
 from paperweave.streaming.ingest import Collection
@@ -29,3 +32,17 @@ def test_directory_scan_and_insert(spark, tmp_path):
     files.insert_if_absent(new, str(tmp_path / "t"), "key")
     files.insert_if_absent(new, str(tmp_path / "t"), "key")
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_ingest_links_ranks_and_recommends(spark, tmp_path):
+    few = ["mirelo", "norrin", "brasca", "abrolo"]
+    papers = spark.read.parquet(f"{DATA}/papers.parquet").select("peer", "urn", "title", "abstract", "body", "resource_url").where(F.col("peer").isin(few))
+    references = spark.read.parquet(f"{DATA}/bib_refs.parquet").where("title is not null").select("peer", "citing_urn", "ref_pos", "title", "cited_urn").where(F.col("peer").isin(few))
+    collection = Collection(spark, str(tmp_path))
+    for own in (few[:1], few[1:]):
+        collection.ingest(papers.where(F.col("peer").isin(own)), references.where(F.col("peer").isin(own)))
+    for table, query, columns in (("ranks", "build_and_analyse", ("peer", "urn")), ("links", "link_citations", ("peer", "citing_urn", "ref_pos", "cited_urn")), ("counters", "graph_counters", ("peer", "edges_added"))):
+        got = spark.read.parquet(collection.path(table)).select(*columns)
+        wanted = QUERIES[query](spark, DATA).where(F.col("peer").isin(few)).select(*columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, wanted.collect()))
+    assert collection.recommendations().count() > 0
