@@ -45,17 +45,30 @@ def link_citations(index: Index, references: DataFrame, alpha: float = 0.90, k:
     return refined.where(F.col("overlap") > least_overlap).withColumn("first", first).where("first = 1").select(*reference, F.col("urn").alias("cited_urn"), "overlap")
 
 
+#: Letters that are counted together to tell texts apart before their distance is worked out; all other characters make one more group.
+LETTERS = ("E", "A", "I", "O", "T", "N", "S", "R", "L", "CU", "DMP", "GHBY", "FVWKJQXZ")
+
+
+def _letter_counts(text: str, prefix: str) -> list[Column]:
+    """How many characters of each group of LETTERS a text has."""
+    return [(F.length(text) - F.length(F.translate(text, group, ""))).alias(f"{prefix}{i}") for i, group in enumerate(LETTERS)]
+
+
 def link_by_edit_distance(papers: DataFrame, references: DataFrame, below: int = 15) -> DataFrame:
     """(peer, citing_urn, ref_pos, cited_urn, distance): the paper whose title is nearest, if nearer than ``below`` edits; ties go to the smaller urn.
 
-    Titles meet only within a peer and if their lengths differ by less than ``below``, which loses no pair; the distance stops counting at that bound.
+    Titles meet only within a peer and if their lengths differ by less than ``below``, and their distance is worked out only if neither has ``below`` letters
+    more than the other, which loses no pair, as every edit changes one letter; the distance stops counting at that bound.
     So wide a bound leaves no sharper exact filter: each distinct printed title is still compared with the papers of similar title length, and ``link_citations`` is the
     operator for large peers.
     """
     refs = references.where("title is not null").dropDuplicates(["peer", "citing_urn", "ref_pos"]).select("peer", "citing_urn", "ref_pos", F.upper("title").alias("t"), F.length("title").alias("length"))
-    printed = refs.select("peer", "t", "length").distinct()
-    known = papers.select("peer", "urn", F.upper("title").alias("p"), F.explode(F.sequence(F.greatest(F.length("title") - (below - 1), F.lit(0)), F.length("title") + (below - 1))).alias("length"))
-    near = printed.join(known, ["peer", "length"]).withColumn("distance", F.levenshtein("t", "p", below - 1)).where("distance >= 0")
+    printed = refs.select("peer", "t", "length").distinct().select("*", *_letter_counts("t", "t"))
+    known = papers.select("peer", "urn", F.upper("title").alias("p"), F.length("title").alias("own"))
+    counted = known.select("peer", "urn", "p", *_letter_counts("p", "p"), F.explode(F.sequence(F.greatest(F.col("own") - (below - 1), F.lit(0)), F.col("own") + (below - 1))).alias("length"))
+    more = sum((F.greatest(F.col(f"t{i}") - F.col(f"p{i}"), F.lit(0)) for i in range(len(LETTERS))), F.lit(0))
+    less = sum((F.greatest(F.col(f"p{i}") - F.col(f"t{i}"), F.lit(0)) for i in range(len(LETTERS))), F.lit(0))
+    near = printed.join(counted, ["peer", "length"]).where((more < below) & (less < below)).withColumn("distance", F.levenshtein("t", "p", below - 1)).where("distance >= 0")
     order = Window.partitionBy("peer", "t").orderBy("distance", "urn")
     nearest = near.withColumn("first", F.row_number().over(order)).where("first = 1").select("peer", "t", "urn", "distance")
     return refs.join(nearest, ["peer", "t"]).select("peer", "citing_urn", "ref_pos", F.col("urn").alias("cited_urn"), "distance")
