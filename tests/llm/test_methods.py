@@ -92,6 +92,24 @@ def test_weakly_joined_groups_are_divided(spark):
     assert len({got[x] for x in a}) == 1 and len({got[x] for x in b}) == 1 and got[1] != got[11]
 
 
+def test_division_in_one_task_is_the_division_by_joins(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    edges = []
+    for c in range(30):
+        sizes = rng.integers(2, 9, 1 + c % 4)
+        parts = np.split(c * 100 + np.arange(sizes.sum()), np.cumsum(sizes)[:-1])
+        edges += [(int(x), int(y), float(rng.uniform(0.3, 1.0))) for g in parts for x in g for y in g if x < y]
+        edges += [(int(g[0]), int(h[0]), 0.05) for g, h in zip(parts, parts[1:])]
+    df = spark.createDataFrame(edges, "a long, b long, affinity double")
+    found = {}
+    for inside in (0, 10**6):
+        found[inside] = sorted(map(tuple, clusters.divide(df, inside=inside).collect()))
+    assert found[0] == found[10**6] and len({c for _, c in found[0]}) > 40
+    # components that fit one task need no plans of their own: none of the rounds of joins is started
+    monkeypatch.setattr(clusters, "divide_spread", None)
+    assert sorted(map(tuple, clusters.divide(df).collect())) == found[0]
+
+
 def test_many_near_copies_stay_together(spark):
     rng = np.random.default_rng(3)
     words = [f"{a}o{b}o{c}o" for a in "bdkmprs" for b in "bdkmprsw" for c in "bdkmprsw"]
