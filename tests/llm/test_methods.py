@@ -164,6 +164,32 @@ def test_affinities_do_not_depend_on_batches(spark):
     assert found[0] == found[1] and len(found[0]) > 100
 
 
+def test_all_pairs_of_frequent_shingles_count(spark, monkeypatch):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    pool = _sentences(rng, 14)
+    texts = [" ".join(list(rng.choice(pool, rng.integers(1, 7), replace=False)) + _sentences(rng, int(rng.integers(0, 5)))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "node bigint, text string")
+    made = next(iter(clusters._shingle(6, 3)(iter([pa.record_batch({"node": list(range(60)), "text": texts})])))).to_pylist()
+    own, held = [dict(zip(r["shingles"], r["sentences"])) for r in made], [r["held"] for r in made]
+    texts_of = Counter(s for o in own for s in o)
+    monkeypatch.setattr(clusters, "BLOCK", 5)
+    # all shingles tell of a sentence; those of more than a tenth of the texts do not
+    for common in (1.0, 0.1):
+        wanted = {}
+        for a in range(60):
+            for b in range(a + 1, 60):
+                both = own[a].keys() & own[b].keys()
+                usual = [s for s in both if texts_of[s] <= max(4, common * 60)]
+                least, sentences = min(abs(held[a]), abs(held[b])), len({own[a][s] for s in usual})
+                share, share_of_all = len(usual) / least, len(both) / least
+                if share >= {1: 0.5 if min(held[a], held[b]) < 0 else 2, 2: 0.21, 3: 0.13}.get(sentences, 0.08 if sentences else 2) or share_of_all >= 0.6:
+                    wanted[a, b] = round(min(1.0, share_of_all), 9)
+        found = {(r.a, r.b): round(r.affinity, 9) for r in clusters.affinities(df, few=4, common=common).collect()}
+        assert found == wanted and len(wanted) > 60
+
+
 def test_winnowing_marks_common_runs():
     rng = np.random.default_rng(1)
     run = rng.integers(0, 2**60, 3, dtype=np.uint64)
