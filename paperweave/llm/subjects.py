@@ -1,7 +1,7 @@
 """Subject areas of documents by one-versus-rest linear classifiers on hashed word n-grams.
 
-The classifiers are fitted on a bounded sample of documents with weak labels (one or two subjects a reader gave, some
-of them wrong, seldom all). A first fit on whole documents assigns each of their sentences to one of the subjects
+The classifiers are fitted on all documents with weak labels (one or two subjects a reader gave, some of them wrong, seldom all): these are dealt
+by hash to shards of some SHARD documents, each is fitted in a task, and the weights are averaged; n-grams are counted over all shards. A first fit on whole documents assigns each of their sentences to one of the subjects
 that its document is labelled with or clearly shows; the second fit is on those sentences. A document's
 composition is the mixture of subjects under which its sentences are most probable, and it is about the subjects whose share
 reaches a threshold. That is calibrated on the labels: readers name a second subject now and then, but a passing mention hardly ever, so the rate of
@@ -26,6 +26,8 @@ BITS = 18
 WORD = re.compile(r"[^\W\d_]{2,}")
 SENTENCE = re.compile(r"(?<=[.!?:;])\s+|\n+")
 SHORTEST = 4
+#: Labelled documents that a task fits, and characters of their texts.
+SHARD, SHARD_CHARS = 20_000, 40_000_000
 OUT = "doc_id bigint, subject string, share double, foremost boolean"
 
 
@@ -89,10 +91,14 @@ def mixtures(z: np.ndarray, owners: np.ndarray, n_texts: int, rounds: int = 15)
     return shares
 
 
-def _fit(features: list[np.ndarray], targets: np.ndarray, epochs: int, seed: int = 7, rate: float = 0.5, seen: int = 2) -> np.ndarray:
+def _held(features: list[np.ndarray]) -> np.ndarray:
+    """In how many rows each n-gram is."""
+    return np.bincount(np.concatenate([np.zeros(0, np.int64), *(np.unique(f) for f in features)]), minlength=1 << BITS)
+
+
+def _fit(features: list[np.ndarray], targets: np.ndarray, epochs: int, common: np.ndarray, seed: int = 7, rate: float = 0.5) -> np.ndarray:
     """One-versus-rest logistic regression by adaptive stochastic gradient steps; a fixed seed fixes the order.
-    N-grams in fewer than ``seen`` rows get no weight."""
-    common = np.bincount(np.concatenate([np.unique(f) for f in features]), minlength=1 << BITS) >= seen
+    N-grams that are not marked as ``common`` get no weight."""
     k = targets.shape[1]
     weights, squares = np.zeros((1 << BITS, k)), np.full(1 << BITS, 1e-2)
     order = np.random.default_rng(seed)
@@ -137,35 +143,87 @@ def gap(counts: np.ndarray, among: np.ndarray) -> float:
     return float((run.mean() + 0.5) / len(counts) / 2)
 
 
-def fit(texts: list[str | None], labels: list[list[str]], subjects: list[str], budget: int = 60_000) -> Model:
-    """``budget`` bounds the gradient steps of the first fit, and three times it those of the second."""
-    place = {s: i for i, s in enumerate(subjects)}
-    k, ids = len(subjects), {}
-    features, begins, owners = sentence_features(texts, ids)
-    ends = np.append(begins[1:], len(features))
-    given = np.zeros((len(texts), k))
-    for i, own in enumerate(labels):
-        for s in own:
-            if s in place:
-                given[i, place[s]] = 1
-    usable = [i for i in np.unique(owners) if given[i].any()]
-    if not usable:
-        return Model(subjects, np.zeros((1 << BITS, k), np.float32))
-    first, last = np.searchsorted(owners, usable, "left"), np.searchsorted(owners, usable, "right")
-    whole = [np.unique(features[begins[a] : ends[b - 1]]) for a, b in zip(first, last)]
-    rough = _fit(whole, given[usable] / given[usable].sum(axis=1, keepdims=True), max(2, min(15, budget // len(whole))))
-    z = scores(rough, features, begins)
-    top = np.partition(z, -2, axis=1)
-    clear = (top[:, -1] - top[:, -2]) > 1.5
-    shown = np.zeros((len(texts), k))
-    np.add.at(shown, (owners[clear], z.argmax(axis=1)[clear]), 1)
-    allowed = (given > 0) | (shown >= 3)
-    inside = np.where(allowed[owners], z, -99.0)
-    best = np.partition(inside, -2, axis=1)
-    taken = np.flatnonzero(allowed[owners].any(axis=1) & given[owners].any(axis=1) & ((allowed[owners].sum(axis=1) == 1) | (best[:, -1] - best[:, -2] > 0.5)))
-    targets = np.eye(k)[inside.argmax(axis=1)[taken]]
-    weights = _fit([features[begins[i] : ends[i]] for i in taken], targets, max(1, min(6, 3 * budget // max(1, len(taken))))).astype(np.float32)
-    return Model(subjects, weights)
+class _Shard:
+    """Documents with their labels, in the order of their ids, for both fits. ``budget`` bounds the gradient steps of the first one, and three times it those of the second, but every row is taken
+    twice in the first, and once in the second, at least."""
+
+    def __init__(self, texts: list[str | None], labels: list[list[str]], subjects: list[str], budget: int = 60_000) -> None:
+        place = {s: i for i, s in enumerate(subjects)}
+        self.budget = budget
+        self.features, self.begins, self.owners = sentence_features(texts, {})
+        self.ends = np.append(self.begins[1:], len(self.features))
+        self.given = np.zeros((len(texts), len(subjects)))
+        for i, own in enumerate(labels):
+            for s in own:
+                if s in place:
+                    self.given[i, place[s]] = 1
+
+    def whole(self) -> tuple[list[np.ndarray], np.ndarray]:
+        """Rows of the first fit: documents."""
+        usable = [i for i in np.unique(self.owners) if self.given[i].any()]
+        first, last = np.searchsorted(self.owners, usable, "left"), np.searchsorted(self.owners, usable, "right")
+        given = self.given[usable]
+        return [np.unique(self.features[self.begins[a] : self.ends[b - 1]]) for a, b in zip(first, last)], given / given.sum(axis=1, keepdims=True) if usable else given
+
+    def parts(self, rough: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Rows of the second fit: sentences that the weights of the first assign to a subject."""
+        owners, given = self.owners, self.given
+        k = given.shape[1]
+        z = scores(rough, self.features, self.begins)
+        if not len(z):
+            return [], np.zeros((0, k))
+        top = np.partition(z, -2, axis=1) if k > 1 else np.c_[np.full(len(z), -np.inf), z]
+        clear = (top[:, -1] - top[:, -2]) > 1.5
+        shown = np.zeros(given.shape)
+        np.add.at(shown, (owners[clear], z.argmax(axis=1)[clear]), 1)
+        allowed = (given > 0) | (shown >= 3)
+        inside = np.where(allowed[owners], z, -99.0)
+        best = np.partition(inside, -2, axis=1) if k > 1 else np.c_[np.full(len(z), -np.inf), inside]
+        taken = np.flatnonzero(allowed[owners].any(axis=1) & given[owners].any(axis=1) & ((allowed[owners].sum(axis=1) == 1) | (best[:, -1] - best[:, -2] > 0.5)))
+        return [self.features[self.begins[i] : self.ends[i]] for i in taken], np.eye(k)[inside.argmax(axis=1)[taken]]
+
+    def first_fit(self, held: np.ndarray | None = None, seen: int = 2) -> np.ndarray:
+        """Weights of the first fit. ``held`` tells in how many rows of all shards each n-gram is, if there are others; those in fewer than ``seen`` get no weight."""
+        rows, targets = self.whole()
+        return _fit(rows, targets, max(2, min(15, self.budget // max(1, len(rows)))), (_held(rows) if held is None else held) >= seen)
+
+    def second_fit(self, rough: np.ndarray, held: np.ndarray | None = None, seen: int = 2) -> np.ndarray:
+        rows, targets = self.parts(rough)
+        return _fit(rows, targets, max(1, min(6, 3 * self.budget // max(1, len(rows)))), (_held(rows) if held is None else held) >= seen)
+
+
+def _on_shards(subjects: list[str], step):
+    """Rows (feature, x0, x1, ...) of what ``step`` makes of each shard, a row of numbers for every n-gram; rows of zeros are left out.
+    Rows (shard, doc_id, text, own) come sorted, and a shard in one task."""
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        found = step(_Shard([r[2] for r in rows], [r[3] for r in rows], subjects)).reshape(1 << BITS, -1).astype(float)
+        held = np.flatnonzero(found.any(axis=1))
+        return pa.record_batch({"feature": pa.array(held.astype(np.int32)), **{f"x{i}": pa.array(column) for i, column in enumerate(found[held].T)}})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if rest and rest[0][0] != row[0]:
+                    yield made(rest)
+                    rest = []
+                rest.append(row)
+        if rest:
+            yield made(rest)
+
+    return run
+
+
+def _over_shards(shards: DataFrame, subjects: list[str], width: int, step, mean: bool) -> np.ndarray:
+    """The sums over all shards of what ``step`` makes of each, or the means over the shards that hold the n-gram."""
+    names = [f"x{i}" for i in range(width)]
+    made = shards.mapInArrow(_on_shards(subjects, step), "feature int, " + ", ".join(f"{x} double" for x in names))
+    total = made.groupBy("feature").agg(*((F.avg(x) if mean else F.sum(x)).alias(x) for x in names)).toArrow()
+    found = np.zeros((1 << BITS, width))
+    # rounded, so that the order of the shards makes no difference
+    found[total.column("feature").to_numpy()] = np.stack([total.column(x).to_numpy() for x in names], axis=1).round(9)
+    return found
 
 
 def _compose(model: Model):
@@ -189,18 +247,27 @@ def _compose(model: Model):
     return run
 
 
-def sampled(labels: DataFrame, most_labelled: int = 20_000) -> DataFrame:
-    """(doc_id, own): the labels of at most ``most_labelled`` documents, taken in the order of a hash of their ids; rows with a null id or label are ignored."""
-    given = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("own"))
-    return given.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
+def sampled(labels: DataFrame) -> DataFrame:
+    """(doc_id, own): the labels of every labelled document; rows with a null id or label are ignored."""
+    return labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("own"))
 
 
-def train(documents: DataFrame, sample: DataFrame, subjects: DataFrame) -> Model:
-    """Fitted on the documents of the bounded ``sample``."""
+def train(documents: DataFrame, sample: DataFrame, subjects: DataFrame, shard: int = SHARD) -> Model:
+    """Fitted on all documents of ``sample``, in shards of some ``shard`` documents."""
     names = [r.subject for r in subjects.where("subject is not null").select("subject").distinct().orderBy("subject").collect()]
-    rows = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").dropDuplicates(["doc_id"]).collect()
-    rows.sort(key=lambda r: r.doc_id)
-    return fit([r.text for r in rows], [r.own for r in rows], names)
+    if not names:
+        return Model(names, np.zeros((1 << BITS, 0), np.float32))
+    rows = cut_lineage(documents.select("doc_id", "text").join(sample, "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "own"))
+    size = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    n = max(1, -(-size.n // shard), -(-size.chars // SHARD_CHARS))
+    shards = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).alias("shard"), "doc_id", "text", "own").repartition(n, "shard").sortWithinPartitions("shard", "doc_id")
+    k = len(names)
+    if n == 1:
+        return Model(names, _over_shards(shards, names, k, lambda own: own.second_fit(own.first_fit()), True).astype(np.float32))
+    held = _over_shards(shards, names, 1, lambda own: _held(own.whole()[0]), False)[:, 0]
+    rough = _over_shards(shards, names, k, lambda own: own.first_fit(held), True)
+    held_by_parts = _over_shards(shards, names, 1, lambda own: _held(own.parts(rough)[0]), False)[:, 0]
+    return Model(names, _over_shards(shards, names, k, lambda own: own.second_fit(rough, held_by_parts), True).astype(np.float32))
 
 
 def compositions(documents: DataFrame, model: Model) -> DataFrame:
@@ -209,10 +276,10 @@ def compositions(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def threshold(composed: DataFrame, sample: DataFrame, bins: int = 50) -> float:
-    """The least share that counts, for all subjects and at every size by the same rule: calibrated on the lesser shares of the labelled documents of the bounded ``sample``, and of all documents."""
+    """The least share that counts, for all subjects and at every size by the same rule: calibrated on the lesser shares of all labelled documents, those of ``sample``, and of all documents."""
     lesser = composed.where("not foremost and share < 0.5").withColumn("bin", F.floor(F.col("share") * 2 * bins).cast("int"))
     named = F.coalesce(F.array_contains("own", F.col("subject")), F.lit(False))
-    counted = lesser.join(F.broadcast(sample), "doc_id", "left").groupBy("bin").agg(F.count("*").alias("n"), F.count_if(F.col("own").isNotNull()).alias("seen"), F.count_if(named).alias("named"))
+    counted = lesser.join(sample, "doc_id", "left").groupBy("bin").agg(F.count("*").alias("n"), F.count_if(F.col("own").isNotNull()).alias("seen"), F.count_if(named).alias("named"))
     table = np.zeros((3, bins))
     for r in counted.collect():
         table[:, min(r.bin, bins - 1)] += (r.n, r.seen, r.named)

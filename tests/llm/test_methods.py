@@ -314,6 +314,28 @@ def test_subject_threshold_follows_one_rule_at_every_size(spark):
     assert 0.11 <= subjects.threshold(composed, sample.limit(0)) <= 0.5
 
 
+def test_every_labelled_document_counts_for_the_subjects(spark):
+    rng = np.random.default_rng(6)
+    words = {"art": "paint canvas gallery brush museum sculptor".split(), "sea": "harbour sailor tide vessel anchor reef".split()}
+    rows = [(i, s, " ".join(rng.choice(words[s], 8)) + ". " + " ".join(rng.choice(words[s], 7)) + ".") for i in range(300) for s in [("art", "sea")[i % 2]]]
+    # a word that only two documents hold, of whichever shards these are
+    rows += [(900, "art", "zebu zebu zebu zebu zebu."), (901, "art", "zebu zebu zebu zebu zebu.")]
+    documents = spark.createDataFrame([(i, t) for i, _, t in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, s) for i, s, _ in rows], "doc_id bigint, subject string")
+    names_ = spark.createDataFrame([("art",), ("sea",)], "subject string")
+    sample = subjects.sampled(labels)
+    assert sample.count() == 302
+    for shard in (20_000, 20):
+        model = subjects.train(documents, sample, names_, shard)
+        features, begins, _ = subjects.sentence_features(["zebu zebu zebu zebu"], {})
+        z = subjects.scores(model.weights, features, begins)
+        assert z[0, 0] > z[0, 1]
+        found = {(r.doc_id, r.subject) for r in subjects.compositions(documents, model).where("foremost").collect()}
+        assert found == {(i, s) for i, s, _ in rows}
+    many = spark.range(20_500).select(F.col("id").alias("doc_id"), F.lit("art").alias("subject"))
+    assert subjects.sampled(many).count() == 20_500
+
+
 def test_subjects_of_held_out_labels_are_found(spark):
     folder = "/root/testdata/sf0.1"
     documents, labels = read_table(spark, folder, "documents"), read_table(spark, folder, "subject_labels")
