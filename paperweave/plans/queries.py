@@ -22,19 +22,27 @@ def _index(spark: SparkSession, d: str, zones: tuple[str, ...] = corpus.ZONES) -
     return index.build_index(read_table(spark, d, "papers"), zones)
 
 
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple[str, str, tuple[str, ...]], str] = {}
 
 
-def _stored(spark: SparkSession, d: str) -> index.Index:
-    """The index of a folder of tables, written once an application and read by every query after."""
-    key = (spark.sparkContext.applicationId, d)
+def _stored(spark: SparkSession, d: str, zones: tuple[str, ...] = corpus.ZONES) -> index.Index:
+    """The index of a folder of tables, or of some zones of it, written once an application and read by every query after."""
+    whole, key = ((spark.sparkContext.applicationId, d, z) for z in (corpus.ZONES, zones))
+    if whole in _written:
+        key = whole
     if key not in _written:
         folder = shared_folder(spark, f"index-{len(_written)}")
-        index.write_index(_index(spark, d), folder)
+        index.write_index(_index(spark, d, zones), folder)
         _written[key] = folder
     return index.read_index(spark, _written[key])
 
 
+def _linked(spark: SparkSession, d: str) -> index.Index:
+    """What the linker reads: the texts' bodies, most of the index, are not in it."""
+    zones = ("title", "abstract")
+    return _stored(spark, d, zones).narrowed(zones)
+
+
 def _rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     # adding 0 turns a negative zero into zero
     return df.withColumns({c: F.round(c, places) + F.lit(0.0) for c in columns})
@@ -197,8 +205,8 @@ def build_and_analyse(spark, d):
 
 
 def graph_counters(spark, d):
-    made, refs = _stored(spark, d), read_table(spark, d, "bib_refs")
-    return graph.graph_counters(refs, linking.link_citations(made.narrowed(("title", "abstract")), refs, unresolved_only=True))
+    made, refs = _linked(spark, d), read_table(spark, d, "bib_refs")
+    return graph.graph_counters(refs, linking.link_citations(made, refs, unresolved_only=True))
 
 
 def adjacency_dump(spark, d):
