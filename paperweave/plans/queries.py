@@ -161,7 +161,7 @@ def link_citations(spark, d):
 
 def link_citations_gated(spark, d):
     """The older variant: coefficients 0.95 and 0.05 and a least score."""
-    made = _stored(spark, d).narrowed(("title", "abstract"))
+    made = _linked(spark, d)
     return linking.citation_edges(linking.link_citations(made, read_table(spark, d, "bib_refs"), alpha=0.95, least_score=0.20))
 
 
