@@ -36,6 +36,7 @@ def crowd(spark):
 OPTIONS = {
     "graph_counters": {"unresolved_only": True},
     "link_citations_gated": {"alpha": 0.95, "least_score": 0.20},
+    "link_citations_oldest": {"k": 3, "least_score": 0.40},
     "link_citations": {},
 }
 
