@@ -198,8 +198,8 @@ def _edges(spark, d):
 
 def build_and_analyse(spark, d):
     """The citation graph as the linker builds it from the reference strings, and the rank of every paper in it."""
-    made = _stored(spark, d)
-    links = linking.link_citations(made.narrowed(("title", "abstract")), read_table(spark, d, "bib_refs"))
+    made = _linked(spark, d)
+    links = linking.link_citations(made, read_table(spark, d, "bib_refs"))
     edges = cut_lineage(graph.edges_of(linking.citation_edges(links), made.papers))
     return _rounded(graph.pagerank(made.papers, edges), "rank")
 
