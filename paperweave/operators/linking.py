@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperweave.functions.text import raw_tokens, reference_tokens
+from paperweave.operators.edits import nearest_titles
 from paperweave.operators.index import Index
-from paperweave.plans.runtime import cut_lineage
+from paperweave.plans.runtime import cut_lineage, ship_package
 
 
 def overlap_of(candidate: Column, query: Column) -> Column:
@@ -132,33 +133,33 @@ def link_citations(index: Index, references: DataFrame, alpha: float = 0.90, k:
     return refined.withColumn("first", first).where("first = 1").select(*reference, F.col("urn").alias("cited_urn"), "overlap")
 
 
-#: Letters that are counted together to tell texts apart before their distance is worked out; all other characters make one more group.
-LETTERS = ("E", "A", "I", "O", "T", "N", "S", "R", "L", "CU", "DMP", "GHBY", "FVWKJQXZ")
-
-
-def _letter_counts(text: str, prefix: str) -> list[Column]:
-    """How many characters of each group of LETTERS a text has."""
-    return [(F.length(text) - F.length(F.translate(text, group, ""))).alias(f"{prefix}{i}") for i, group in enumerate(LETTERS)]
+#: Titles of a peer that one task compares with as many others.
+BLOCK = 8192
 
 
 def link_by_edit_distance(papers: DataFrame, references: DataFrame, below: int = 15) -> DataFrame:
     """(peer, citing_urn, ref_pos, cited_urn, distance): the paper whose title is nearest, if nearer than ``below`` edits; ties go to the smaller urn.
 
-    Titles meet only within a peer and if their lengths differ by less than ``below``, and their distance is worked out only if neither has ``below`` letters
-    more than the other, which loses no pair, as every edit changes one letter; the distance stops counting at that bound.
-    So wide a bound leaves no sharper exact filter: each distinct printed title is still compared with the papers of similar title length, and ``link_citations`` is the
-    operator for large peers.
+    Each distinct printed title is compared with all distinct titles of its peer, block by block; ``edits.nearest`` tells most pairs apart by their letters and works out the
+    distances of the others. So wide a bound leaves no sharper exact filter, so the work grows with references times papers of a peer, and ``link_citations`` is the operator for large peers.
     """
-    refs = references.where("title is not null").dropDuplicates(["peer", "citing_urn", "ref_pos"]).select("peer", "citing_urn", "ref_pos", F.upper("title").alias("t"), F.length("title").alias("length"))
-    printed = refs.select("peer", "t", "length").distinct().select("*", *_letter_counts("t", "t"))
-    known = papers.select("peer", "urn", F.upper("title").alias("p"), F.length("title").alias("own"))
-    counted = known.select("peer", "urn", "p", *_letter_counts("p", "p"), F.explode(F.sequence(F.greatest(F.col("own") - (below - 1), F.lit(0)), F.col("own") + (below - 1))).alias("length"))
-    more = sum((F.greatest(F.col(f"t{i}") - F.col(f"p{i}"), F.lit(0)) for i in range(len(LETTERS))), F.lit(0))
-    less = sum((F.greatest(F.col(f"p{i}") - F.col(f"t{i}"), F.lit(0)) for i in range(len(LETTERS))), F.lit(0))
-    near = printed.join(counted, ["peer", "length"]).where((more < below) & (less < below)).withColumn("distance", F.levenshtein("t", "p", below - 1)).where("distance >= 0")
-    order = Window.partitionBy("peer", "t").orderBy("distance", "urn")
-    nearest = near.withColumn("first", F.row_number().over(order)).where("first = 1").select("peer", "t", "urn", "distance")
-    return refs.join(nearest, ["peer", "t"]).select("peer", "citing_urn", "ref_pos", F.col("urn").alias("cited_urn"), "distance")
+    spark = papers.sparkSession
+    ship_package(spark)
+    refs = references.where("title is not null").dropDuplicates(["peer", "citing_urn", "ref_pos"]).select("peer", "citing_urn", "ref_pos", F.upper("title").alias("t"))
+    printed = refs.where("peer is not null").select("peer", "t").distinct()
+    known = papers.where("title is not null").groupBy("peer", F.upper("title").alias("p")).agg(F.min("urn").alias("urn"))
+    blocks = lambda df, name: df.groupBy("peer").agg(F.ceil(F.count("*") / BLOCK).alias(name))
+    sizes = blocks(printed, "parts").join(blocks(known, "sides"), "peer")
+    dealt = lambda text, n: F.pmod(F.xxhash64(text), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    keys = ["peer", "part", "side"]
+    # the tables are small for the work on them: by number, as partitions would be put together by size
+    n = 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    asked = printed.join(sizes, "peer").select("peer", "t", dealt("t", "parts").alias("part"), every("sides").alias("side")).repartition(n, *keys)
+    titles = known.join(sizes, "peer").select("peer", "p", "urn", dealt("p", "sides").alias("side"), every("parts").alias("part")).repartition(n, *keys)
+    found = asked.groupBy(*keys).cogroup(titles.groupBy(*keys)).applyInArrow(nearest_titles(below - 1), f"peer string, t string, urn {known.schema['urn'].dataType.simpleString()}, distance int")
+    nearest = found.groupBy("peer", "t").agg(F.min(F.struct("distance", "urn")).alias("best"))
+    return refs.join(nearest, ["peer", "t"]).select("peer", "citing_urn", "ref_pos", F.col("best.urn").alias("cited_urn"), F.col("best.distance").alias("distance"))
 
 
 def citation_edges(links: DataFrame) -> DataFrame:

@@ -63,3 +63,33 @@ def test_a_paper_that_only_its_abstract_ranks_higher_counts_among_the_best(spark
     references = spark.createDataFrame([("p", "c", 1, "1 2 tree caches", None)], REFERENCE)
     assert linking.link_citations(made, references).count() == 0
     assert [r.cited_urn for r in linking.link_citations(made, references, k=6).collect()] == ["far"]
+
+
+def test_nearest_titles_are_those_that_brute_force_finds(spark):
+    import random
+
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("abcdeß é") for _ in range(draw.randint(1, 9)))
+    titles = [" ".join(word() for _ in range(draw.choice((1, 3, 9, 16)))) for _ in range(60)]
+    slips = lambda t: "".join(draw.choice(("", c + "x", "y")) if draw.random() < 0.15 else c for c in t)
+    papers = spark.createDataFrame([("pq"[i % 2], f"u{i % 50}{i}", t) for i, t in enumerate(titles)], "peer string, urn string, title string")
+    references = spark.createDataFrame([("pqr"[i % 3], "c", i, slips(draw.choice(titles))) for i in range(90)], "peer string, citing_urn string, ref_pos int, title string")
+    got = {r.ref_pos: (r.distance, r.cited_urn) for r in linking.link_by_edit_distance(papers, references).collect()}
+    want = {}
+    for r in references.join(papers.select("peer", "urn", F.col("title").alias("t")), "peer").withColumn("d", T.edit_distance(F.col("title"), F.col("t"))).where("d < 15").collect():
+        want[r.ref_pos] = min(want.get(r.ref_pos, (99, "")), (r.d, r.urn))
+    assert got == want and len(want) > 20
+
+
+def test_titles_of_the_same_letters_are_compared_without_a_row_for_each_length(spark):
+    # 700 titles that letter counts don't tell apart; they were dealt by every length that may meet theirs
+    letters = list("abcdefghijklmnopqrstuvwxyzabcdefghijklmnop")
+    import random
+
+    draw = random.Random(7)
+    mixed = ["".join(draw.sample(letters, len(letters))) for _ in range(700)]
+    papers = spark.createDataFrame([("p", f"u{i:03d}", t) for i, t in enumerate(mixed)], "peer string, urn string, title string")
+    references = spark.createDataFrame([("p", "c", i, t[1:] + "!") for i, t in enumerate(mixed)], "peer string, citing_urn string, ref_pos int, title string")
+    found, rows = rows_shuffled(spark, lambda: linking.link_by_edit_distance(papers, references).collect())
+    assert {(r.ref_pos, r.cited_urn, r.distance) for r in found} == {(i, f"u{i:03d}", 2) for i in range(700)}
+    assert rows < 15_000
